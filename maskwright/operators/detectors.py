@@ -8,7 +8,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from maskwright import fixed_values as fixed
 from maskwright.functions import spans as S
 from maskwright.functions import text as X
 from maskwright.functions.dialect import java
+from maskwright.functions.reuse import on
 
 
 @dataclass(frozen=True)
@@ -159,13 +159,12 @@ def run(text: Column, detectors: tuple[Detector, ...] = DETECTORS) -> Column:
 
 
 @cache
-def _run_on(column: str, ranks: tuple[int, ...], context: int) -> Column:
-    """The large expression of ``run``, built once per Spark context."""
-    return run(F.col(column), tuple(d for d in DETECTORS if d.rank in ranks))
+def _runner(detectors: tuple[Detector, ...]) -> Callable[[Column], Column]:
+    return lambda text: run(text, detectors)
 
 
 def _finds(detectors: tuple[Detector, ...]) -> Column:
-    return _run_on("_searchable", tuple(d.rank for d in detectors), id(SparkContext._active_spark_context))
+    return on(_runner(detectors), "_searchable")
 
 
 def _with_annotations(paragraphs: DataFrame, finds: Column) -> Column:
@@ -176,9 +175,9 @@ def _with_annotations(paragraphs: DataFrame, finds: Column) -> Column:
 
 def candidates(paragraphs: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """Adds ``candidates``: every find of the patterns and of the annotations, overlaps included."""
-    rows = paragraphs.withColumn("_searchable", S.searchable(F.col("text")))
+    rows = paragraphs.withColumn("_searchable", on(S.searchable, "text"))
     rows = rows.withColumn("candidates", _with_annotations(paragraphs, _finds(detectors)))
-    rows = rows.withColumn("candidates", S.with_original_values(F.col("candidates"), F.col("text")))
+    rows = rows.withColumn("candidates", on(S.with_original_values, "candidates", "text"))
     return rows.drop("_searchable")
 
 
@@ -189,12 +188,12 @@ def seed_candidates(paragraphs: DataFrame) -> DataFrame:
     """
     teaching = tuple(d for d in DETECTORS if d.pii_type in TAUGHT_BY_FINDS)
     others = tuple(d for d in DETECTORS if d not in teaching)
-    rows = paragraphs.withColumn("_searchable", S.searchable(F.col("text")))
+    rows = paragraphs.withColumn("_searchable", on(S.searchable, "text"))
     rows = rows.withColumn("candidates", _with_annotations(paragraphs, _finds(teaching)))
     teaches = F.exists("candidates", lambda s: s["pii_type"].isin(*TAUGHT_BY_FINDS))
     complete = F.when(teaches, F.concat("candidates", _finds(others))).otherwise(S.no_spans())
     rows = rows.withColumn("candidates", complete)
-    rows = rows.withColumn("candidates", S.with_original_values(F.col("candidates"), F.col("text")))
+    rows = rows.withColumn("candidates", on(S.with_original_values, "candidates", "text"))
     return rows.drop("_searchable")
 
 

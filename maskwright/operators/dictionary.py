@@ -7,6 +7,7 @@ from maskwright import fixed_values as fixed
 from maskwright.functions import spans as S
 from maskwright.functions import text as X
 from maskwright.functions.dialect import java
+from maskwright.functions.reuse import on
 from maskwright.operators.detectors import DICTIONARY_RANKS, TAUGHT_BY_FINDS, seed_candidates, span_rows
 from maskwright.operators.numbering import chunk_of
 from maskwright.plans.staging import fits_broadcast
@@ -25,14 +26,14 @@ _TYPED = "array<struct<pii_type: string, value: string>>"
 
 def _taught_by_label(rows: DataFrame) -> DataFrame:
     """Adds ``taught``: typed values of a paragraph whose predecessor is a label."""
-    value = X.strip(F.col("text"))
-    rows = rows.withColumns(
-        {
-            "_kind": X.label_type(F.col("prev_text")),
-            "_value": F.when(F.length(value).between(1, fixed.VALUE_MAX), value),
-        }
-    )
-    v, kind = F.col("_value"), F.col("_kind")
+    rows = rows.withColumn("_kind", on(X.label_type, "prev_text"))
+    rows = rows.withColumn("_value", F.when(F.col("_kind").isNotNull(), X.strip(F.col("text"))))
+    typed = F.coalesce(on(_typed_value, "_kind", "_value"), F.array().cast(_TYPED))
+    return rows.withColumn("taught", typed).drop("_kind", "_value")
+
+
+def _typed_value(kind: Column, v: Column) -> Column:
+    """What a stripped value under a label of this kind teaches; null if nothing."""
     values = (
         F.when((kind == "name") & X.is_person(v), F.array(v))
         .when(kind == "dob", F.regexp_extract_all(v, F.lit(java(fixed.DATE)), F.lit(0)))
@@ -41,7 +42,7 @@ def _taught_by_label(rows: DataFrame) -> DataFrame:
         .when((kind == "company") & (v.rlike(java(fixed.COMPANY)) | (X.word_count(v) >= 2)), F.array(v))
     )
     typed = F.transform(values, lambda x: F.struct(kind.alias("pii_type"), x.alias("value")))
-    return rows.withColumn("taught", F.coalesce(typed, F.array().cast(_TYPED))).drop("_kind", "_value")
+    return F.when(F.length(v).between(1, fixed.VALUE_MAX), typed)
 
 
 def _taught_by_spans(spans: Column) -> Column:
@@ -67,16 +68,16 @@ def label_pairs(paragraphs: DataFrame) -> DataFrame:
 
 def seeds(paragraphs: DataFrame) -> DataFrame:
     """``(doc_id, pii_type, value)`` of the names and companies the first pass finds."""
-    spans = seed_candidates(paragraphs).withColumn("spans", S.resolve(F.col("candidates")))
-    return _distinct_values(spans.withColumn("taught", _taught_by_spans(F.col("spans"))), "taught")
+    spans = seed_candidates(paragraphs).withColumn("spans", on(S.resolve, "candidates"))
+    return _distinct_values(spans.withColumn("taught", on(_taught_by_spans, "spans")), "taught")
 
 
 def learn(paragraphs: DataFrame) -> DataFrame:
     """``dictionary(doc_id, pii_type, value)`` of every document: seeds and label pairs, in one scan."""
-    rows = seed_candidates(with_previous(paragraphs)).withColumn("spans", S.resolve(F.col("candidates")))
+    rows = seed_candidates(with_previous(paragraphs)).withColumn("spans", on(S.resolve, "candidates"))
     rows = _taught_by_label(rows)
     return _distinct_values(
-        rows.withColumn("taught", F.concat("taught", _taught_by_spans(F.col("spans")))), "taught"
+        rows.withColumn("taught", F.concat("taught", on(_taught_by_spans, "spans"))), "taught"
     )
 
 
@@ -87,9 +88,9 @@ def _rank(pii_type: Column) -> Column:
     return rank
 
 
-def has_large_documents(dictionary: DataFrame, in_row: int = VALUES_IN_ROW) -> bool:
-    """Whether any document has more values than are matched inside the row. Runs a job."""
-    return not dictionary.groupBy("doc_id").count().filter(F.col("count") > in_row).isEmpty()
+def largest(dictionary: DataFrame) -> int:
+    """How many values the document with the most values has. Runs a job that returns one number."""
+    return dictionary.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
 
 
 def with_dictionary_hits(
@@ -109,7 +110,7 @@ def with_dictionary_hits(
     * A value of a large dictionary is matched as a whole: its stretch from first to last word is
       the join key, met by equally long stretches of the text.
 
-    ``large_documents=False`` (see ``has_large_documents``) leaves the second way out of the plan.
+    ``large_documents=False`` (see ``largest``) leaves the second way out of the plan.
     """
     if not large_documents:
         return _with_small_dictionary(paragraphs, dictionary, size)
@@ -137,8 +138,8 @@ def _with_small_dictionary(paragraphs: DataFrame, dictionary: DataFrame, size: i
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_chunk")
         arrays = last.join(arrays, "doc_id").select("doc_id", every, "_values")
         rows = paragraphs.withColumn("_chunk", chunk).join(arrays, ["doc_id", "_chunk"], "left").drop("_chunk")
-    found = F.coalesce(_hits_of_values(F.col("_text"), F.col("_values")), S.no_spans())
-    rows = rows.withColumn("_text", S.searchable(F.col("text"))).withColumn("hits", found)
+    found = F.coalesce(on(_hits_of_values, "_text", "_values"), S.no_spans())
+    rows = rows.withColumn("_text", on(S.searchable, "text")).withColumn("hits", found)
     return rows.drop("_text", "_values")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.fakes import fake
+from maskwright.functions.reuse import on
 from maskwright.functions.text import hash_bucket, normalise
 from maskwright.operators.numbering import chunk_of, number_rows
 from maskwright.schema import CHUNK
@@ -13,7 +14,7 @@ KEY = ["doc_id", "pii_type", "norm_value"]
 
 def keyed(spans: DataFrame, size: int = CHUNK) -> DataFrame:
     """Spans (one per row) with their key and the chunk of paragraphs they stand in."""
-    return spans.withColumn("norm_value", normalise(F.col("value"))).withColumn(
+    return spans.withColumn("norm_value", on(normalise, "value")).withColumn(
         "chunk", chunk_of(F.col("para_idx"), size)
     )
 
@@ -39,8 +40,11 @@ def ordinals(occurring: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def with_fakes(numbered: DataFrame) -> DataFrame:
-    bucket: Column = hash_bucket(F.col("norm_value"))
-    return numbered.select(*KEY, "ordinal", fake(F.col("pii_type"), bucket, F.col("ordinal")).alias("fake"))
+    return numbered.select(*KEY, "ordinal", on(_fake, "pii_type", "norm_value", "ordinal").alias("fake"))
+
+
+def _fake(pii_type: Column, norm_value: Column, ordinal: Column) -> Column:
+    return fake(pii_type, hash_bucket(norm_value), ordinal)
 
 
 def mapping(occurring: DataFrame, size: int = CHUNK) -> DataFrame:

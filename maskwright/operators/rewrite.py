@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.reuse import on
 from maskwright.operators.pseudonym import KEY, keyed
 from maskwright.schema import CHUNK
 
@@ -57,7 +58,7 @@ def rewrite(paragraphs: DataFrame, looked_up: DataFrame, size: int = CHUNK) -> D
     )
     columns = ["doc_id", "para_idx", "story"]
     rewritten = changed.join(fakes, ["doc_id", "para_idx"]).select(
-        *columns, spliced(F.col("text"), F.col("_replaced")).alias("redacted"), F.lit(True).alias("changed")
+        *columns, on(spliced, "text", "_replaced").alias("redacted"), F.lit(True).alias("changed")
     )
     untouched = same.select(*columns, F.col("text").alias("redacted"), F.lit(False).alias("changed"))
     return untouched.unionByName(rewritten)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
+from maskwright.functions.reuse import on
 from maskwright.operators import dictionary as D
 from maskwright.operators import pseudonym, report, rewrite
 from maskwright.operators.detectors import candidates
@@ -32,7 +33,7 @@ def resolved(paragraphs: DataFrame, dictionary: DataFrame | None = None, **optio
     rows = candidates(rows)
     found = F.concat("candidates", "hits") if dictionary is not None else F.col("candidates")
     return rows.withColumn("candidates", found).select(
-        "doc_id", "para_idx", "story", "text", S.resolve(F.col("candidates")).alias("spans")
+        "doc_id", "para_idx", "story", "text", on(S.resolve, "candidates").alias("spans")
     )
 
 
@@ -57,9 +58,8 @@ def redact(
     workspace = workspace or Workspace(paragraphs.sparkSession)
 
     dictionary = workspace.stage(D.learn(paragraphs), "dictionary")
-    known = {} if dictionary.isEmpty() else {"dictionary": dictionary}
-    if known:
-        known["large_documents"] = D.has_large_documents(dictionary)
+    most = D.largest(dictionary)
+    known = {"dictionary": dictionary, "large_documents": most > D.VALUES_IN_ROW} if most else {}
     found = resolved(paragraphs, **known)
     if runs is not None:
         found = rewrite.only_styled(found, runs)

@@ -41,6 +41,12 @@ def estimated_bytes(rows: DataFrame) -> int:
     return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(rows: DataFrame) -> int:
+    """The size of the files and tables that a plan reads."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 # Files are compressed: a table may take this many times their size in memory.
 UNPACKED = 4
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_blank, strip
 from maskwright.operators.numbering import chunk_of, number_rows
-from maskwright.plans.staging import estimated_bytes
+from maskwright.plans.staging import input_bytes
 from maskwright.schema import CHUNK
 
 # The order in which a document's stories are read.
@@ -21,7 +21,7 @@ def spread(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
-    return docs.repartition(cores) if estimated_bytes(docs) < cores * int(split) else docs
+    return docs.repartition(cores) if input_bytes(docs) < cores * int(split) else docs
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
