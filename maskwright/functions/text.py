@@ -2,6 +2,7 @@
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ from maskwright import fixed_values as fixed
 from maskwright.functions.dialect import SPACE, SPACE_CHARS, java
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
@@ -37,15 +43,19 @@ def casefold(text: Column) -> Column:
     source, target, expansions = _folds()
     pairs = ",".join(f"{c}:{folded}" for c, folded in expansions.items())
     table = F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":"))
-    lowered = F.lower(text)
-    full = F.array_join(
-        F.transform(
-            F.split(F.translate(lowered, source, target), ""),
-            lambda c: F.coalesce(F.try_element_at(table, c), c),
-        ),
-        "",
-    )
-    return F.when(text.rlike(r"^\p{ASCII}*$"), lowered).otherwise(full)
+
+    def folded(lowered: Column) -> Column:
+        full = F.array_join(
+            F.transform(
+                F.split(F.translate(lowered, source, target), ""),
+                lambda c: F.coalesce(F.try_element_at(table, c), c),
+            ),
+            "",
+        )
+        # In ASCII text, and in no other, characters are as many as bytes.
+        return F.when(F.length(lowered) == F.octet_length(lowered), lowered).otherwise(full)
+
+    return let(F.lower(text), folded)
 
 
 def normalise(value: Column) -> Column:
@@ -61,19 +71,21 @@ def _decimal_digits() -> tuple[str, str]:
 
 def digits(text: Column) -> Column:
     """The decimal digits of ``text``, of any script, as ASCII digits."""
-    only = F.regexp_replace(text, java(r"\D"), "")
-    return F.when(only.rlike(r"^[0-9]*$"), only).otherwise(F.translate(only, *_decimal_digits()))
+    only = F.regexp_replace(text, java(r"\D+"), "")
+    as_ascii = lambda d: F.when(F.length(d) == F.octet_length(d), d).otherwise(
+        F.translate(d, *_decimal_digits())
+    )
+    return let(only, as_ascii)
 
 
 def luhn(number: Column) -> Column:
     """Check-digit test on 13 to 19 digits."""
-    only = digits(number)
-    return F.length(only).between(13, 19) & F.call_function("luhn_check", only)
+    return let(digits(number), lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d))
 
 
 def word_count(text: Column) -> Column:
-    stripped = strip(text)
-    return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, f"[{SPACE}]+")))
+    count = lambda s: F.when(s == "", 0).otherwise(F.size(F.split(s, f"[{SPACE}]+")))
+    return let(strip(text), count)
 
 
 def has_postal(text: Column) -> Column:
@@ -101,11 +113,15 @@ def label_type(text: Column) -> Column:
     # No label has more than three words: longer paragraphs are out after their fourth.
     word = f"A-Za-z0-9{_folding_to_ascii()}"
     short = text.rlike(rf"\A(?:[^{word}]*+[{word}]++){{1,3}}[^{word}]*+\z")
+    # An earlier type keeps a label it shares with a later one.
+    types = {label: kind for kind, labels in reversed(fixed.LABELS.items()) for label in labels}
+    table = F.str_to_map(
+        F.lit(",".join(f"{label}:{kind}" for label, kind in types.items() if len(label) <= fixed.LABEL_MAX)),
+        F.lit(","),
+        F.lit(":"),
+    )
     normal = F.trim(F.regexp_replace(casefold(text), "[^a-z0-9]+", " "))
-    kind = F
-    for pii_type, labels in fixed.LABELS.items():
-        kind = kind.when(normal.isin(*labels) & (F.length(normal) <= fixed.LABEL_MAX), pii_type)
-    return F.when(short, kind)
+    return F.when(short, F.try_element_at(table, normal))
 
 
 def hash_bucket(key: Column) -> Column:

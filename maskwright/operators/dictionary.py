@@ -129,7 +129,9 @@ def with_dictionary_hits(
 
 
 def _with_small_dictionary(paragraphs: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
-    arrays = dictionary.groupBy("doc_id").agg(F.collect_list(F.struct("pii_type", "value")).alias("_values"))
+    needle = S.searchable(F.col("value")).alias("needle")
+    word = F.struct("pii_type", needle, _rank(F.col("pii_type")).alias("detector_rank"))
+    arrays = dictionary.groupBy("doc_id").agg(F.collect_list(word).alias("_values"))
     if fits_broadcast(dictionary):
         rows = paragraphs.join(F.broadcast(arrays), "doc_id", "left")
     else:
@@ -140,16 +142,14 @@ def _with_small_dictionary(paragraphs: DataFrame, dictionary: DataFrame, size: i
         rows = paragraphs.withColumn("_chunk", chunk).join(arrays, ["doc_id", "_chunk"], "left").drop("_chunk")
     found = F.coalesce(on(_hits_of_values, "_text", "_values"), S.no_spans())
     rows = rows.withColumn("_text", on(S.searchable, "text")).withColumn("hits", found)
+    rows = rows.withColumn("hits", on(S.with_original_values, "hits", "text"))
     return rows.drop("_text", "_values")
 
 
 def _hits_of_values(text: Column, values: Column) -> Column:
-    occurring = F.filter(values, lambda v: F.contains(text, S.searchable(v["value"])))
+    occurring = F.filter(values, lambda v: F.contains(text, v["needle"]))
     return F.flatten(
-        F.transform(
-            occurring,
-            lambda v: S.find_literal(text, S.searchable(v["value"]), v["pii_type"], _rank(v["pii_type"])),
-        )
+        F.transform(occurring, lambda v: S.find_literal(text, v["needle"], v["pii_type"], v["detector_rank"]))
     )
 
 
@@ -159,7 +159,8 @@ def _with_large_dictionary(paragraphs: DataFrame, dictionary: DataFrame) -> Data
     hits = matches.groupBy("doc_id", "para_idx").agg(F.collect_list("match").alias("_matches"))
     rows = paragraphs.join(hits, ["doc_id", "para_idx"], "left")
     found = F.coalesce(_leftmost_of_each_value(F.col("_matches")), S.no_spans())
-    return rows.withColumn("hits", F.concat("hits", found)).drop("_matches")
+    rows = rows.withColumn("hits", F.concat("hits", found)).drop("_matches")
+    return rows.withColumn("hits", on(S.with_original_values, "hits", "text"))
 
 
 def _words_and_gaps(text: Column) -> Column:
