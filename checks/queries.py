@@ -140,7 +140,7 @@ def _redacted_forms(spark: SparkSession, sf_dir: str, **options) -> Result:
 def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = detectors.span_rows(resolved(documents(spark, sf_dir)), "spans")
     occurring = Workspace(spark).stage(pseudonym.occurrences(spans), "occurrences")
-    return pseudonym.ordinals(occurring)
+    return pseudonym.ordinals(occurring).drop("first")
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def _folding_to_ascii() -> str:
 
 def label_type(text: Column) -> Column:
     """The type a paragraph announces for its successor, or null."""
-    # No label has more than three words: longer paragraphs are out after their fourth.
+    # No label has more than three words: a long paragraph is out after its fourth.
     word = f"A-Za-z0-9{_folding_to_ascii()}"
     short = text.rlike(rf"\A(?:[^{word}]*+[{word}]++){{1,3}}[^{word}]*+\z")
     # An earlier type keeps a label it shares with a later one.
@@ -121,7 +121,7 @@ def label_type(text: Column) -> Column:
         F.lit(":"),
     )
     normal = F.trim(F.regexp_replace(casefold(text), "[^a-z0-9]+", " "))
-    return F.when(short, F.try_element_at(table, normal))
+    return F.when((F.octet_length(text) <= 64) | short, F.try_element_at(table, normal))
 
 
 def hash_bucket(key: Column) -> Column:

@@ -21,7 +21,8 @@ def keyed(spans: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def occurrences(spans: DataFrame, size: int = CHUNK) -> DataFrame:
     """Per key and chunk: where the key first stands there and how often it does."""
-    place = F.struct("para_idx", "start")
+    # Paragraph and offset in one number, which aggregates by hash where a struct would be sorted.
+    place = F.shiftleft(F.col("para_idx").cast("bigint"), 32) + F.col("start")
     return keyed(spans, size).groupBy(*KEY, "chunk").agg(
         F.min(place).alias("first"), F.count("*").alias("n")
     )
@@ -30,26 +31,33 @@ def occurrences(spans: DataFrame, size: int = CHUNK) -> DataFrame:
 def ordinals(occurring: DataFrame, size: int = CHUNK) -> DataFrame:
     """Numbers the keys of each document and type by first appearance."""
     keys = occurring.groupBy(*KEY).agg(F.min("first").alias("first"))
-    return number_rows(
-        keys,
-        ["doc_id", "pii_type"],
-        {"_chunk": chunk_of(F.col("first.para_idx"), size)},
-        [F.col("first")],
-        "ordinal",
-    ).select(*KEY, "ordinal")
+    chunk = chunk_of(F.shiftright("first", 32), size)
+    numbered = number_rows(keys, ["doc_id", "pii_type"], {"_chunk": chunk}, [F.col("first")], "ordinal")
+    return numbered.select(*KEY, "ordinal", "first")
 
 
 def with_fakes(numbered: DataFrame) -> DataFrame:
-    return numbered.select(*KEY, "ordinal", on(_fake, "pii_type", "norm_value", "ordinal").alias("fake"))
+    return numbered.withColumn("fake", on(_fake, "pii_type", "norm_value", "ordinal"))
 
 
 def _fake(pii_type: Column, norm_value: Column, ordinal: Column) -> Column:
     return fake(pii_type, hash_bucket(norm_value), ordinal)
 
 
-def mapping(occurring: DataFrame, size: int = CHUNK) -> DataFrame:
-    """``mapping(doc_id, pii_type, norm_value, ordinal, fake)``."""
-    return with_fakes(ordinals(occurring, size))
+def lookups(occurring: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The mapping, repeated once per chunk in which a key occurs.
+
+    Spans then meet their replacement on (key, chunk): a value that fills a third of all rows is
+    spread over the chunks it stands in.
+    """
+    mapped = with_fakes(ordinals(occurring, size)).withColumnRenamed("first", "_first")
+    rows = occurring.select(*KEY, "chunk", "first").join(mapped, KEY)
+    return rows.select(*KEY, "chunk", "ordinal", "fake", (F.col("first") == F.col("_first")).alias("is_first"))
+
+
+def mapping(looked_up: DataFrame) -> DataFrame:
+    """``mapping(doc_id, pii_type, norm_value, ordinal, fake)``: each key in the chunk it first stands in."""
+    return looked_up.filter("is_first").select(*KEY, "ordinal", "fake")
 
 
 def as_map(mapped: DataFrame) -> DataFrame:

@@ -8,18 +8,10 @@ from maskwright.operators.pseudonym import KEY, keyed
 from maskwright.schema import CHUNK
 
 
-def lookups(occurring: DataFrame, mapped: DataFrame) -> DataFrame:
-    """The mapping, repeated once per chunk in which a key occurs.
-
-    Spans then meet their replacement on (key, chunk): a value that fills a third of all rows is
-    spread over the chunks it stands in.
-    """
-    return occurring.select(*KEY, "chunk").join(mapped.select(*KEY, "fake"), KEY)
-
-
 def replacements(spans: DataFrame, looked_up: DataFrame, size: int = CHUNK) -> DataFrame:
     """Spans (one per row) with their ``fake``."""
-    return keyed(spans, size).join(looked_up, [*KEY, "chunk"]).drop("norm_value", "chunk")
+    fakes = looked_up.select(*KEY, "chunk", "fake")
+    return keyed(spans, size).join(fakes, [*KEY, "chunk"]).drop("norm_value", "chunk")
 
 
 def _span_rows(paragraphs: DataFrame) -> DataFrame:

@@ -67,11 +67,10 @@ def redact(
 
     span_rows = rewrite._span_rows(found)
     occurring = workspace.stage(pseudonym.occurrences(span_rows), "occurrences")
-    mapped = workspace.stage(pseudonym.mapping(occurring), "mapping")
-    looked_up = rewrite.lookups(occurring, mapped)
+    looked_up = workspace.stage(pseudonym.lookups(occurring), "lookups")
     return Result(
         redacted=rewrite.rewrite(found, looked_up),
-        mapping=mapped,
+        mapping=pseudonym.mapping(looked_up),
         summary=report.summary(found, occurring, mode),
         spans=span_rows,
         pieces=None if runs is None else rewrite.run_pieces(found, runs, looked_up),
