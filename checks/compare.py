@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 from checks.expected import SQL
 from checks.queries import QUERIES
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -33,10 +35,8 @@ def differences(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str
         return f"columns {columns} / {sorted(names)}"
     order = [names.index(c) for c in columns]
     theirs = Counter(tuple(r[i] for i in order) for r in answer.fetchall())
-    plain = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
-    types = dict(zip(names, (str(c[1]) for c in answer.description)))
-    kinds = [f"{c}: {t}/{types[c]}" for c, t in rows.dtypes if plain.get(t) != types[c]]
-    kinds = [k for k in kinds if k.split("/")[1] not in ("NUMBER", "STRING", "bool")]
+    types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    kinds = [f"{c}: {t}/{types[c]}" for c, t in rows.dtypes if TYPES.get(t) != types[c]]
     if ours != theirs:
         return f"{sum(ours.values())} / {sum(theirs.values())} rows; ours only {list((ours - theirs).items())[:3]}; " \
             f"theirs only {list((theirs - ours).items())[:3]}"

@@ -8,9 +8,9 @@ DuckDB both read: the two sides build the same rows.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FIRST = ("Elena", "Marcus", "Sofia", "Kavya", "Liam", "Noor", "Pedro", "Hana", "Tomas", "Ingrid")
-_LAST = ("Brooks", "Hill", "Martinez", "Rao", "Novak", "Okafor", "Lind", "Sato", "Costa")
-_TRADE = ("Northwind Traders", "Blue River Analytics", "Acme Financial Services", "Contoso Mills")
+_FIRST = ("Clara", "Felix", "Greta", "Imran", "Jonas", "Keiko", "Lucia", "Milan", "Nadia", "Oscar")
+_LAST = ("Archer", "Bennett", "Castro", "Dubois", "Eriksen", "Fischer", "Gallo", "Horvat", "Ito")
+_TRADE = ("Southgate Traders", "Red Maple Analytics", "Lotus Savings Group", "Fabrikam Mills")
 _FORM = ("Limited", "LLC", "Pvt Ltd", "Corporation", "Private Limited")
 
 
@@ -47,14 +47,14 @@ def _check_digit() -> str:
 # Two of three cards carry the right check digit.
 _CARD = f"({_BODY} || {_text(f'(({_check_digit()}) + (CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END)) % 10')})"
 _GROUPED = " || ' ' || ".join(f"substr({_CARD}, {i}, 4)" for i in (1, 5, 9, 13))
-_LANDLINE = f"'(415) 555-' || {_text('k % 10000', 4)}"
+_LANDLINE = f"'(312) 555-' || {_text('k % 10000', 4)}"
 
 LINES = (
     f"'Intake sheet ' || {_text('k')}",
     f"'Customer Name: ' || {_person(0)}",
     f"'Email: ' || lower({_pick(_FIRST, 'k')}) || '.' || {_text('k')} || '@mail' || {_text('k % 7')} || '.example.org'",
     f"'Phone: +1 (' || {_text('200 + k % 700')} || ') 555-' || {_text('k % 10000', 4)}",
-    f"'Billing Address: ' || {_text('1 + k % 900')} || ' Market Street, ' || nation || ' ' || {_text('10000 + k % 80000')}",
+    f"'Billing Address: ' || {_text('1 + k % 900')} || ' Orchard Street, ' || nation || ' ' || {_text('10000 + k % 80000')}",
     f"'DOB: ' || {_DATE}",
     f"'Login IP: 10.' || {_text('k % 300')} || '.' || {_text('k % 100')} || '.7'",
     f"'Card: ' || {_GROUPED}",
@@ -63,7 +63,7 @@ LINES = (
     f"'Contact Person: Dr. ' || {_person(2)} || '; ' || {_person(5)}",
     f"'Mr. ' || {_person(4)} || ' met ' || {_pick(_TRADE, '(k + 1)')} || ' Inc. on site.'",
     f"'Mobile: 9' || {_text('k', 9)}",
-    f"'Order 2025-' || {_text('k')} || ' is valid from ' || {_DATE} || '.'",
+    f"'Order 2025-' || {_text('k')} || ' stands since ' || {_DATE} || '.'",
     "'Full Name:'",
     f"CASE WHEN k % 5 = 0 THEN ' ' ELSE {_person(6)} END",
     f"{_person(6)} || ' signed.'",
@@ -74,7 +74,7 @@ LINES = (
     "''",
     f"'We wrote to ' || {_person(6)} || ' and ' || {_person(0)} || ' (' || {_COMPANY} || ') on ' || {_SECOND_DATE} || '.'",
     "'The Harbour Bank'",
-    f"'Residence: Flat 8B, Sunrise Court, 41100' || {_text('k % 10')} || ' '",
+    f"'Residence: Flat 3C, Meadow Court, 41100' || {_text('k % 10')} || ' '",
     "'Director: approved the plan'",
     f"'Desk +44 20 7946 ' || {_text('k % 10000', 4)} || ' or 020-7946 ' || {_text('k % 10000', 4)}",
     "'Contact no.'",
@@ -109,13 +109,13 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # What an entity model would say about some of the lines: (line, start, text, label).
 _ENTITIES = (
     (0, "0", "'Intake sheet'", "ORG"),
-    (4, "length('Billing Address: ')", "'Market Street'", "FAC"),
+    (4, "length('Billing Address: ')", "'Orchard Street'", "FAC"),
     (13, "0", "'Order'", "PERSON"),
     (16, "0", _person(6), "PERSON"),
     (20, "0", "'Harbour Goods'", "ORG"),
     (22, "12", _person(6), "PERSON"),
     (23, "4", "'Harbour'", "LOC"),
-    (24, "19", "'Sunrise Court'", "FAC"),
+    (24, "20", "'Meadow Court'", "FAC"),
     (26, "0", "'De'", "ORG"),
     (29, "0", "'Call '", "ORG"),
 )

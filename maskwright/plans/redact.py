@@ -51,11 +51,13 @@ def redact(
     everything returned is computed from those. Text is shuffled only where a paragraph changes
     (or where the dictionary is too large to broadcast).
     """
+    workspace = workspace or Workspace(paragraphs.sparkSession)
     if check_mode(mode) == "hybrid":
         if entities is None:
             raise ValueError("hybrid mode reads annotations: pass an entities table")
-        paragraphs = with_entity_spans(D.with_previous(paragraphs), entities)
-    workspace = workspace or Workspace(paragraphs.sparkSession)
+        # Both passes need the join's result: the text is shuffled for it once.
+        annotated = with_entity_spans(D.with_previous(paragraphs), entities)
+        paragraphs = workspace.stage(annotated, "annotated")
 
     dictionary = workspace.stage(D.learn(paragraphs), "dictionary")
     most = D.largest(dictionary)
