@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -139,3 +140,37 @@ def running_totals(rows: DataFrame, key: str, chunk: str, order: list[str], valu
     before = totals.select(key, chunk, (F.sum("__total").over(over) - F.col("__total")).alias("__before"))
     within = rows.withColumn("__within", F.sum(value).over(inside) - F.col(value))
     return within.join(before, [key, chunk]).withColumn(name, F.col("__within") + F.col("__before")).drop("__within", "__before")
+
+
+# Slots of a filter. Its bitmaps of 32,768 bits come to 16 MB at most, which bounds their broadcast; a
+# filter too small for its table only lets more rows through to the join that follows.
+FILTER_BITS = 1 << 27
+
+
+def bitmaps(slots: DataFrame) -> DataFrame:
+    """(bucket, bits) of the distinct values of ``slot``, numbers from 0 on."""
+    placed = slots.select((F.col("slot") + 1).alias("slot"))
+    return placed.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+
+
+def with_bit(rows: DataFrame, filter_rows: DataFrame, slot: Column, name: str) -> DataFrame:
+    """Adds a boolean column ``name``: whether the filter has the row's slot."""
+    found = F.broadcast(filter_rows.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))
+    position = F.bitmap_bit_position(slot + 1)
+    byte = F.conv(F.hex(F.substring("__bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(found, F.bitmap_bucket_number(slot + 1) == F.col("__bucket"), "left")
+    return joined.withColumn(name, F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bits")
+
+
+def in_table(rows: DataFrame, wanted: DataFrame, key: str, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key`` is in ``wanted``. A filter keeps most others out of the shuffle."""
+    slot = F.pmod(F.xxhash64(key), F.lit(filter_bits))
+    likely = with_bit(rows, bitmaps(wanted.select(slot.alias("slot"))), slot, "__likely").filter("__likely").drop("__likely")
+    return likely.join(wanted.select(key), key, "left_semi")
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """Computes ``rows`` once, into a compressed table in the shared folder."""
+    path = f"{shared_folder(rows.sparkSession)}/staged-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from maskwright.llm import common as C
+from maskwright.llm.common import FILTER_BITS
 
-FILTER_BITS = 1 << 27
 HASHES = 2
-BITMAP_BITS = 32768
 
 
 def normalised(text: Column) -> Column:
@@ -32,34 +31,18 @@ def _slots(digest: Column, filter_bits: int) -> Column:
 
 
 def repeated_slots(digests: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """The filter: (bucket, bits), with a bit for each slot that two or more rows hit."""
+    """The filter: a bit for each slot that two or more rows hit."""
     hit = digests.select(F.explode(_slots(F.col("text_sha256"), filter_bits)).alias("slot")).groupBy("slot").count()
-    twice = hit.filter("count > 1").select((F.col("slot") + 1).alias("slot"))
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
-    )
-
-
-def _is_set(bits: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
+    return C.bitmaps(hit.filter("count > 1"))
 
 
 def flagged(rows: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Adds ``suspect`` to rows that have ``text_sha256``: false if no other row has that text.
-
-    A row whose first slot is not in the filter is not looked up again.
-    """
-    bitmaps = F.broadcast(repeated_slots(rows.select("text_sha256"), filter_bits))
-    slots, out = _slots(F.col("text_sha256"), filter_bits), rows.withColumn("suspect", F.lit(True))
+    """Adds ``suspect`` to rows that have ``text_sha256``: false if no other row has that text."""
+    found, slots = repeated_slots(rows.select("text_sha256"), filter_bits), _slots(F.col("text_sha256"), filter_bits)
     for i in range(HASHES):
-        slot = slots[i] + 1
-        found = bitmaps.select(F.col("bucket").alias(f"__bucket{i}"), F.col("bits").alias(f"__bits{i}"))
-        out = out.join(found, F.bitmap_bucket_number(slot) == F.col(f"__bucket{i}"), "left").withColumn(
-            "suspect", F.col("suspect") & _is_set(F.col(f"__bits{i}"), F.bitmap_bit_position(slot))
-        )
-        out = out.drop(f"__bucket{i}", f"__bits{i}")
-    return out
+        rows = C.with_bit(rows, found, slots[i], f"__set{i}")
+    names = [f"__set{i}" for i in range(HASHES)]
+    return rows.withColumn("suspect", F.expr(" AND ".join(names))).drop(*names)
 
 
 def mark_copies(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -77,12 +60,10 @@ def mark_copies(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     suspects = C.with_group(
         marked.filter("suspect"), ["text_sha256"], F.xxhash64("doc_id"), keep_id=(F.col("doc_id"), "max"), group_size=(F.col("doc_id"), "count")
     )
-    # Rows that repeat a doc_id: one of them stays. Only ids that occur twice in a group are sorted out.
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    one = F.row_number().over(_window("text_sha256", "doc_id"))
-    first = suspects.filter(stays).withColumn("kept", one == 1)
-    rest = suspects.filter(~stays).withColumn("kept", F.lit(False))
-    both = first.unionByName(rest).select("row", "keep_id", "group_size", "kept", "text_sha256")
+    # Of rows that repeat the doc_id that stays, one does.
+    first = F.row_number().over(_window("text_sha256", "doc_id")) == 1
+    both = suspects.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & first)
+    both = both.select("row", "keep_id", "group_size", "kept", "text_sha256")
     return C.result_columns(alone.unionByName(both), "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -84,10 +84,6 @@ def signatures(sets: list[np.ndarray], count: int = COORDINATES) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _long_lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
-
-
 def signed(docs: DataFrame, width: int, count: int) -> DataFrame:
     """(doc_id, n_shingles, cls, sig); cls and sig are null for an empty set."""
 
@@ -106,17 +102,25 @@ def signed(docs: DataFrame, width: int, count: int) -> DataFrame:
     return docs.select("doc_id", C.binary_text()).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, sig array<bigint>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, set) of the given documents."""
+def confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Of pairs (u, v, text_u, text_v) those whose full shingle sets are similar enough.
+
+    Texts travel rather than sets: they are smaller.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, one = b"", np.empty(0, np.uint64)
         for batch in C.text_batches(batches):
-            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            if sets:
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                yield pa.record_batch([batch.column(0), _long_lists(np.concatenate(sets), offsets)], ["node", "set"])
+            near = []
+            for text_u, text_v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if text_u != hub:  # many pairs in a row share their hub
+                    hub, one = text_u, shingles(text_u, width)
+                two = shingles(text_v, width)
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                near.append(100 * common >= percent * (len(one) + len(two) - common))
+            yield pa.record_batch(batch.columns[:2], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return docs.select("doc_id", C.binary_text()).mapInArrow(run, "node bigint, set array<bigint>")
+    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -164,27 +168,26 @@ def components(edges: DataFrame) -> DataFrame:
 class _Links:
     """Checks pairs of representatives, first on signatures, then on full sets."""
 
-    def __init__(self, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> None:
-        self.reps, self.sets, self.matches, self.percent = reps, sets, matches, percent
+    def __init__(self, reps: DataFrame, texts: DataFrame, matches: int, percent: int, width: int) -> None:
+        self.reps, self.texts, self.matches, self.percent, self.width = reps, texts, matches, percent, width
 
-    def counted(self, pairs: DataFrame) -> DataFrame:
-        one = self.reps.select(F.col("node").alias("u"), F.col("sig").alias("sig_u"))
-        two = self.reps.select(F.col("node").alias("v"), F.col("sig").alias("sig_v"))
-        return pairs.join(one, "u").join(two, "v").filter(agreeing(F.col("sig_u"), F.col("sig_v")) >= self.matches).select("u", "v")
+    def _side(self, table: DataFrame, pairs: DataFrame, end: str, value: str) -> DataFrame:
+        """The rows of ``table`` that one side of the pairs needs."""
+        return C.in_table(table, pairs.select(F.col(end).alias("node")).distinct(), "node").select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}"))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        one = self.sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
-        two = self.sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
-        common = F.size(F.array_intersect("set_u", "set_v"))
-        union = F.size("set_u") + F.size("set_v") - F.col("common")
-        # Sets whose sizes alone rule the link out are not intersected.
-        near = F.least(F.size("set_u"), F.size("set_v")) * 100 >= F.greatest(F.size("set_u"), F.size("set_v")) * self.percent
-        met = pairs.join(one, "u").join(two, "v").filter(near).withColumn("common", common)
-        return met.filter(F.col("common") * 100 >= union * self.percent).select("u", "v")
+    def found(self, pairs: DataFrame) -> DataFrame:
+        pairs = C.checkpointed(pairs)
+        met = pairs.join(self._side(self.reps, pairs, "v", "sig"), "v").join(self._side(self.reps, pairs, "u", "sig"), "u")
+        likely = C.checkpointed(met.filter(agreeing(F.col("sig_u"), F.col("sig_v")) >= self.matches).select("u", "v"))
+        read = likely.join(self._side(self.texts, likely, "v", "text"), "v").join(self._side(self.texts, likely, "u", "text"), "u")
+        return C.checkpointed(confirmed(read, self.percent, self.width).distinct())
 
 
-def _labelled(posted: DataFrame, roots: DataFrame) -> DataFrame:
-    return posted.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+def _open(posted: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the postings that show more than one component."""
+    rows = posted.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    return rows.join(several, "key")
 
 
 def _with_hubs(posted: DataFrame, last: bool) -> DataFrame:
@@ -222,18 +225,18 @@ def near_groups(
     members = C.checkpointed(members.select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig")))
     reps = members.filter("sig IS NOT NULL").select("node", "sig").dropDuplicates(["node", "sig"])
     posted = C.checkpointed(prefixes(reps, count, matches))
-    wanted = posted.select(F.col("node").alias("doc_id")).distinct()
-    reps = C.checkpointed(reps.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi"))
-    sets = C.checkpointed(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width).distinct())
+    wanted = C.checkpointed(posted.select("node").distinct())
+    reps = C.checkpointed(C.in_table(reps, wanted, "node"))
+    texts = C.staged(C.in_table(docs.select(F.col("doc_id").alias("node"), C.binary_text().alias("text")), wanted, "node"))
 
-    links = _Links(reps, sets, matches, percent)
-    found = C.checkpointed(links.confirmed(links.counted(_with_hubs(posted.withColumn("root", F.col("node")), last=False))))
+    links = _Links(reps, texts, matches, percent, width)
+    found = links.found(_with_hubs(posted.withColumn("root", F.col("node")), last=False))
     roots = components(found)
-    for candidates in (lambda p: links.counted(_with_hubs(p, last=True)), lambda p: _rest(p, reps, matches)):
-        open_ = C.checkpointed(_labelled(posted, roots))
-        more = C.checkpointed(links.confirmed(candidates(open_)))
-        found = found.union(more)
-        roots = components(found)
+    for candidates in (lambda p: _with_hubs(p, last=True), lambda p: _rest(p, reps, matches)):
+        more = links.found(candidates(C.checkpointed(_open(posted, roots))))
+        if not more.isEmpty():
+            found = found.union(more)
+            roots = components(found)
     linked = members.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
     linked = linked.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
     all_rows = linked.unionByName(alone.withColumnRenamed("node", "component_id"))
