@@ -171,16 +171,16 @@ class _Links:
     def __init__(self, reps: DataFrame, texts: DataFrame, matches: int, percent: int, width: int) -> None:
         self.reps, self.texts, self.matches, self.percent, self.width = reps, texts, matches, percent, width
 
-    def _side(self, table: DataFrame, pairs: DataFrame, end: str, value: str) -> DataFrame:
-        """The rows of ``table`` that one side of the pairs needs."""
-        return C.in_table(table, pairs.select(F.col(end).alias("node")).distinct(), "node").select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}"))
+    def _joined(self, pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        """Pairs with ``value`` of both ends. A staged table of few pairs is small enough for Spark to broadcast."""
+        for end in ("v", "u"):
+            pairs = pairs.join(table.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+        return pairs
 
     def found(self, pairs: DataFrame) -> DataFrame:
-        pairs = C.checkpointed(pairs)
-        met = pairs.join(self._side(self.reps, pairs, "v", "sig"), "v").join(self._side(self.reps, pairs, "u", "sig"), "u")
-        likely = C.checkpointed(met.filter(agreeing(F.col("sig_u"), F.col("sig_v")) >= self.matches).select("u", "v"))
-        read = likely.join(self._side(self.texts, likely, "v", "text"), "v").join(self._side(self.texts, likely, "u", "text"), "u")
-        return C.checkpointed(confirmed(read, self.percent, self.width).distinct())
+        met = self._joined(C.staged(pairs), self.reps, "sig")
+        likely = C.staged(met.filter(agreeing(F.col("sig_u"), F.col("sig_v")) >= self.matches).select("u", "v"))
+        return C.checkpointed(confirmed(self._joined(likely, self.texts, "text"), self.percent, self.width).distinct())
 
 
 def _open(posted: DataFrame, roots: DataFrame) -> DataFrame:
