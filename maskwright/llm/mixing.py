@@ -111,7 +111,9 @@ def draws(sources: DataFrame, seed: int = 0, shard: int = SHARD) -> DataFrame:
     spans = starts.join(filled.select("key", "quota", "blocks"), "key").select(
         "key", "shard", "start", F.least(F.col("start") + F.col("count"), F.col("quota")).alias("end"), "quota", "blocks"
     )
-    numbered = spans.unionByName(short.select(*spans.columns)).filter("start < end").select(
+    # Few narrow rows become many: they are dealt out first, or adaptive execution would put them in one task.
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = spans.unionByName(short.select(*spans.columns)).filter("start < end").repartition(dealt, "key", "shard").select(
         "shard", "key", "blocks", F.explode(F.sequence("start", F.col("end") - 1)).alias("n")
     )
     turn = (F.col("n") / F.col("blocks")).cast("bigint")
