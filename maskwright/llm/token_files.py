@@ -37,7 +37,7 @@ BITS = 20  # frequencies add up to 2^20
 LOW = 1 << 31  # states lie in [2^31, 2^63)
 MAGIC = b"rANS"
 HEADER = struct.Struct("<4s7I")
-CACHE = 500_000
+WORDS, PARTS_KEPT = 1_500_000, 1_000_000  # what a worker remembers; a memory that is full is emptied
 
 # The parts of the tokenizer file's split pattern, with white space as a Unicode property.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -165,9 +165,9 @@ class WordTokenizer:
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Ids as little-endian 32-bit integers, each text's with ``end`` appended."""
         split = [t.split() for t in texts]
-        if len(self.words) > CACHE:
+        if len(self.words) > WORDS:
             self.words.clear()
-        if len(self.parts) > CACHE:
+        if len(self.parts) > PARTS_KEPT:
             self.parts.clear()
         missing = set().union(*split).difference(self.words)
         if missing:
@@ -191,13 +191,13 @@ def tokenizer(definition: str) -> WordTokenizer:
     return _tokenizers[name]
 
 
-_BLOCKS = "part int, block int, n bigint, doc_ids array<bigint>, lengths array<bigint>, before array<bigint>, after array<bigint>, ids binary"
+_BLOCKS = "part int, block int, n bigint, doc_ids array<bigint>, lengths array<bigint>, before array<bigint>, ids binary"
 
 
 def raw_blocks(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
     """Blocks of ids in ascending doc_id order, with the piece of each document that lies in them.
 
-    ``before`` and ``after`` count a document's ids in earlier and later blocks.
+    ``before`` counts a document's ids in earlier blocks.
     """
     with open(vocabulary, encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -206,12 +206,12 @@ def raw_blocks(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
         own, part, block = tokenizer(definition.value), TaskContext.get().partitionId(), 0
         kind = "<u2" if own.size <= 1 << 16 else "<u4"
         ids: list[np.ndarray] = []
-        pieces: list[tuple[int | None, int, int, int]] = []
+        pieces: list[tuple[int | None, int, int]] = []
 
         def closed() -> pa.RecordBatch:
-            cells = [[part], [block], [sum(p[1] for p in pieces)], *[[[p[i] for p in pieces]] for i in range(4)], [np.concatenate(ids).astype(kind).tobytes()]]
-            types = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary()]
-            names = ["part", "block", "n", "doc_ids", "lengths", "before", "after", "ids"]
+            cells = [[part], [block], [sum(p[1] for p in pieces)], *[[[p[i] for p in pieces]] for i in range(3)], [np.concatenate(ids).astype(kind).tobytes()]]
+            types = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+            names = ["part", "block", "n", "doc_ids", "lengths", "before", "ids"]
             return pa.record_batch([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names)
 
         free = BLOCK
@@ -222,7 +222,7 @@ def raw_blocks(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
                 while done < len(row):
                     take = min(free, len(row) - done)
                     ids.append(row[done : done + take])
-                    pieces.append((doc, take, done, len(row) - done - take))
+                    pieces.append((doc, take, done))
                     done, free = done + take, free - take
                     if not free:
                         yield closed()
@@ -261,14 +261,14 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end: int) -> None:
     raw = spark.read.schema(_BLOCKS).parquet(f"{path}/raw")
     frequencies(raw).coalesce(1).write.parquet(f"{path}/table")
     table = spark.sparkContext.broadcast(_read_table(spark, path))
-    names = ["part", "block", "n", "doc_ids", "lengths", "before", "after"]
+    names = ["part", "block", "n", "doc_ids", "lengths", "before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Table(table.value)
         for batch in C.text_batches(batches):
-            ids = zip(batch.column(2).to_pylist(), batch.column(7).to_pylist(), strict=True)
+            ids = zip(batch.column(2).to_pylist(), batch.column(6).to_pylist(), strict=True)
             data = [encode_block(_width(raw_ids, n), own) for n, raw_ids in ids]
-            yield pa.record_batch([*batch.columns[:7], pa.array(data, pa.binary())], [*names, "data"])
+            yield pa.record_batch([*batch.columns[:6], pa.array(data, pa.binary())], [*names, "data"])
 
     raw.mapInArrow(run, _BLOCKS.replace("ids binary", "data binary")).write.option("compression", "none").parquet(f"{path}/blocks")
 
@@ -325,7 +325,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         own = Table(table.value)
         for batch in C.text_batches(batches):
             part, block = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            docs, lengths, before, after, data = (batch.column(i).to_pylist() for i in range(2, 7))
+            docs, lengths, before, data = (batch.column(i).to_pylist() for i in range(2, 6))
             for i in range(batch.num_rows):
                 ids = decode_block(data[i], own).astype("<u4").tobytes()
                 edges = np.cumsum([0, *lengths[i]])
@@ -333,19 +333,18 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 n = len(crc)
                 yield pa.record_batch(
                     [pa.array([part[i]] * n, pa.int32()), pa.array([block[i]] * n, pa.int32()), pa.array(docs[i], pa.int64()),
-                     pa.array(edges[:-1]), pa.array(lengths[i], pa.int64()), pa.array(before[i], pa.int64()), pa.array(after[i], pa.int64()), pa.array(crc, pa.int64())],
-                    ["part", "block", "doc_id", "at", "n", "before", "after", "crc"],
+                     pa.array(edges[:-1]), pa.array(lengths[i], pa.int64()), pa.array(before[i], pa.int64()), pa.array(crc, pa.int64())],
+                    ["part", "block", "doc_id", "at", "n", "before", "crc"],
                 )
 
-    decoded = blocks.select("part", "block", "doc_ids", "lengths", "before", "after", "data").mapInArrow(
-        run, "part int, block int, doc_id bigint, at bigint, n bigint, before bigint, after bigint, crc bigint"
+    decoded = blocks.select("part", "block", "doc_ids", "lengths", "before", "data").mapInArrow(
+        run, "part int, block int, doc_id bigint, at bigint, n bigint, before bigint, crc bigint"
     )
     pieces = decoded.join(starts, ["part", "block"]).withColumn("start", F.col("start") + F.col("at") - F.col("before"))
-    whole = pieces.filter("before = 0 AND after = 0").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    parts = pieces.filter("before > 0 OR after > 0").groupBy("doc_id", "start").agg(
+    docs = pieces.groupBy("doc_id", "start").agg(
         F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("before", "n", "crc"))).alias("pieces")
     )
-    return whole.unionByName(parts.mapInArrow(_joined_crcs, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
+    return docs.mapInArrow(_joined_crcs, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
