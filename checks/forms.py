@@ -50,16 +50,16 @@ _GROUPED = " || ' ' || ".join(f"substr({_CARD}, {i}, 4)" for i in (1, 5, 9, 13))
 _LANDLINE = f"'(312) 555-' || {_text('k % 10000', 4)}"
 
 LINES = (
-    f"'Intake sheet ' || {_text('k')}",
-    f"'Customer Name: ' || {_person(0)}",
-    f"'Email: ' || lower({_pick(_FIRST, 'k')}) || '.' || {_text('k')} || '@mail' || {_text('k % 7')} || '.example.org'",
-    f"'Phone: +1 (' || {_text('200 + k % 700')} || ') 555-' || {_text('k % 10000', 4)}",
-    f"'Billing Address: ' || {_text('1 + k % 900')} || ' Orchard Street, ' || nation || ' ' || {_text('10000 + k % 80000')}",
-    f"'DOB: ' || {_DATE}",
-    f"'Login IP: 10.' || {_text('k % 300')} || '.' || {_text('k % 100')} || '.7'",
-    f"'Card: ' || {_GROUPED}",
-    f"'SSN: ' || {_text('100 + k % 800')} || '-' || {_text('k % 100', 2)} || '-' || {_text('k % 10000', 4)}",
-    f"'Employer: ' || {_COMPANY}",
+    f"'Parcel ' || {_text('k')} || ' waits'",
+    f"'Locker opened from 10.' || {_text('k % 300')} || '.' || {_text('k % 100')} || '.7 at dawn'",
+    f"'Packed by ' || {_COMPANY} || ', two boxes'",
+    f"'Customs keeps it under ' || {_text('100 + k % 800')} || '-' || {_text('k % 100', 2)} || '-' || {_text('k % 10000', 4)}",
+    f"'Shipping Address: ' || {_text('1 + k % 900')} || ' Orchard Street, ' || nation || ' ' || {_text('10000 + k % 80000')}",
+    f"'Client Name: ' || {_person(0)}",
+    f"'Duty was paid with ' || {_GROUPED}",
+    f"'The collector, born ' || {_DATE} || ', showed a passport'",
+    f"'Ring +1 (' || {_text('200 + k % 700')} || ') 555-' || {_text('k % 10000', 4)} || ' when it rains'",
+    f"'Or leave word at ' || lower({_pick(_FIRST, 'k')}) || '.' || {_text('k')} || '@mail' || {_text('k % 7')} || '.example.org'",
     f"'Contact Person: Dr. ' || {_person(2)} || '; ' || {_person(5)}",
     f"'Mr. ' || {_person(4)} || ' met ' || {_pick(_TRADE, '(k + 1)')} || ' Inc. on site.'",
     f"'Mobile: 9' || {_text('k', 9)}",
@@ -108,8 +108,8 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # What an entity model would say about some of the lines: (line, start, text, label).
 _ENTITIES = (
-    (0, "0", "'Intake sheet'", "ORG"),
-    (4, "length('Billing Address: ')", "'Orchard Street'", "FAC"),
+    (0, "0", "'Parcel'", "ORG"),
+    (4, "length('Shipping Address: ')", "'Orchard Street'", "FAC"),
     (13, "0", "'Order'", "PERSON"),
     (16, "0", _person(6), "PERSON"),
     (20, "0", "'Harbour Goods'", "ORG"),
@@ -128,8 +128,8 @@ ENTITIES = " UNION ALL ".join(
 
 # The types each line holds: (by its own labels, to a reader who knows).
 _GOLD = {
-    1: ("name", "name"), 2: ("email", "email"), 3: ("phone", "phone"), 4: ("address", "address"),
-    5: ("dob", "dob"), 6: ("ip", "ip"), 7: ("card", "card"), 8: ("ssn", "ssn"), 9: ("company", "company"),
+    1: ("ip", "ip"), 2: ("company", "company"), 3: ("ssn", "ssn"), 4: ("address", "address"), 5: ("name", "name"),
+    6: ("card", "card"), 7: ("dob", "dob"), 8: ("phone", "phone"), 9: ("email", "email"),
     10: ("name", "name"), 11: ("name,company", "name,company"), 12: ("phone", "phone"), 15: ("", "name"),
     16: ("", "name"), 18: ("", "dob"), 20: ("", "company"), 22: ("company", "name,company,dob"),
     24: ("address", "address"), 26: ("phone", "phone"), 28: ("phone", "phone"), 29: ("phone", "phone,company"),
