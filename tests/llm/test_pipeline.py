@@ -30,15 +30,14 @@ def test_pipeline(spark, tmp_path):
     ]
     now = docs
     for (_, stage), ids in zip(corpus_pipeline.STAGES, expected, strict=False):
-        now = stage(spark, now, str(tmp_path))
+        now = stage(spark, now, str(tmp_path)).cache()
         assert now.columns == docs.columns
         assert sorted(r.doc_id for r in now.select("doc_id").collect()) == sorted(ids)
-    now = now.cache()
     mix = corpus_pipeline.mixed(spark, now, str(tmp_path)).cache()
     assert mix.columns == docs.columns and {r.doc_id for r in mix.collect()} <= expected[2]
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         codec = byte_bpe.Codec(file.read(), public_tokenizers.PATTERN)
     want = sorted((r.doc_id, hashlib.sha256(codec.encode(r.text or "")).hexdigest()) for r in mix.collect())
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = corpus_pipeline.encoded(spark, mix, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.ids_sha256) for r in got) == want
     assert all(hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() == r.ids_sha256 for r in got)
