@@ -150,13 +150,17 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         up = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
         up = C.checkpointed(up)
-        above = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        up = C.checkpointed(up.join(above, "p", "left").select("u", F.coalesce("q", "p").alias("p")))
+        moved = True
+        while moved:  # paths halve until every node points to a root
+            above = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            to = F.coalesce("q", "p")
+            jumped = C.checkpointed(up.join(above, "p", "left").select("u", to.alias("p"), (to != F.col("p")).alias("moved")))
+            up, moved = jumped.select("u", "p"), not jumped.filter("moved").isEmpty()
         if labels is None:
             labels = up.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
-            moved = up.select(F.col("u").alias("root"), "p")
-            labels = C.checkpointed(labels.join(moved, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+            merged = up.select(F.col("u").alias("root"), "p")
+            labels = C.checkpointed(labels.join(merged, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
         ends = up.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         edges = edges.join(up, "u").join(ends, "v").select(F.col("p").alias("u"), F.col("pv").alias("v"))
         edges = C.checkpointed(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
