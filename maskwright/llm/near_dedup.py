@@ -6,10 +6,14 @@
    ``MATCHES`` coordinates must share a posting among each one's rarest COORDINATES - MATCHES + 1 (the
    prefix); the frequent rest is skipped and only counted when a pair is checked. Most documents
    share fewer than ``MATCHES`` coordinates with anything and end here.
-3. Inside a posting, documents first meet one hub instead of each other; agreeing coordinates are
-   counted, pairs from ``MATCHES`` on are confirmed on the full sets, links are joined to components. Then
-   only documents that a posting still shows in different components meet: those outside its
-   largest component against the others. That pass has no cap, so no pair is left out.
+3. Inside a posting, documents first meet one hub, the one whose coordinates are the most common, instead
+   of each other; agreeing coordinates are counted, pairs from ``MATCHES`` on are confirmed on the full
+   sets, links are joined to components. Then only documents that a posting still shows in different
+   components meet: those outside its largest component against the others, each pair under one key. That
+   pass has no cap, so no pair is left out.
+4. Pairs leave a join only if their parity sketches allow the similarity: each shingle flips one of
+   ``BITS`` bits, so two sketches never differ in more bits than the sets do in shingles. The sketch
+   drops no link.
 
 At similarity 0.8, 37 of 64 agreeing coordinates are missed about once in 100,000 pairs.
 """
@@ -31,6 +35,8 @@ MATCHES = 37
 WIDTH = 5
 PERCENT = 80
 CACHE = 400_000
+LANES = 16
+BITS = 64 * LANES
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0xD6E8FEB86659FD93)
@@ -102,6 +108,34 @@ def signed(docs: DataFrame, width: int, count: int) -> DataFrame:
     return docs.select("doc_id", C.binary_text()).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, sig array<bigint>")
 
 
+def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``LANES`` 64-bit words per set: bit i tells whether an odd number of shingles falls on i."""
+    number = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = (np.concatenate([*sets, np.empty(0, np.uint64)]) >> np.uint64(32)).astype(np.int64) % BITS
+    odd = np.bincount(number * BITS + place, minlength=len(sets) * BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(len(sets), LANES)
+
+
+def sketched(texts: DataFrame, width: int) -> DataFrame:
+    """(node, text, n, bits): the set's size and parity sketch beside each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.text_batches(batches):
+            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            bits = parity_sketches(sets).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * LANES, pa.int32()), pa.array(bits))
+            yield pa.record_batch([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), lists], ["node", "text", "n", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, text binary, n bigint, bits array<bigint>")
+
+
+def possible(n: Column, bits: Column, o_n: Column, o_bits: Column, percent: int) -> Column:
+    """Whether the sketches allow the similarity: linked sets differ in at most (100 - p) / (100 + p) of their sizes' sum."""
+    differing = sum((F.bit_count(bits[i].bitwiseXOR(o_bits[i])) for i in range(1, LANES)), F.bit_count(bits[0].bitwiseXOR(o_bits[0])))
+    sizes = 100 * F.least(n, o_n) >= percent * F.greatest(n, o_n)
+    return sizes & (differing * (100 + percent) <= (n + o_n) * (100 - percent))
+
+
 def confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
     """Of pairs (u, v, text_u, text_v) those whose full shingle sets are similar enough.
 
@@ -129,14 +163,17 @@ def agreeing(a: Column, b: Column) -> Column:
 
 
 def prefixes(reps: DataFrame, count: int, matches: int) -> DataFrame:
-    """(key, node): each representative under the rarest coordinate-value pairs that any partner must share."""
+    """(node, prefix, weight): the rarest coordinate-value pairs of each representative, of which any partner
+    shares one; weight is how often all of its pairs occur, so it is large in the middle of a group."""
     posted = reps.select("node", F.posexplode("sig").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node")
     frequent = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = posted.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     # Coordinates that no other document has are the rarest: they use up the prefix first.
     return shared.filter(F.size("keys") >= matches).select(
-        "node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (matches - 1))).alias("k")
-    ).select("k.key", "node")
+        "node",
+        F.slice("keys.key", F.lit(1), F.size("keys") - (matches - 1)).alias("prefix"),
+        F.aggregate("keys.n", F.lit(0).cast("bigint"), lambda total, n: total + n).alias("weight"),
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,20 +207,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """Checks pairs of representatives, first on signatures, then on full sets."""
+    """Checks pairs of representatives, first on sketches and signatures, then on full sets."""
 
-    def __init__(self, reps: DataFrame, texts: DataFrame, matches: int, percent: int, width: int) -> None:
-        self.reps, self.texts, self.matches, self.percent, self.width = reps, texts, matches, percent, width
+    def __init__(self, profiles: DataFrame, texts: DataFrame, matches: int, percent: int, width: int) -> None:
+        self.profiles, self.texts, self.matches, self.percent, self.width = profiles, texts, matches, percent, width
 
-    def _joined(self, pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        """Pairs with ``value`` of both ends. A staged table of few pairs is small enough for Spark to broadcast."""
+    def _joined(self, pairs: DataFrame, table: DataFrame, *values: str, last: Column | None = None) -> DataFrame:
+        """Pairs with ``values`` of both ends. A staged table of few pairs is small enough for Spark to broadcast."""
         for end in ("v", "u"):
-            pairs = pairs.join(table.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+            side = table.select(F.col("node").alias(f"node_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in values])
+            on = F.col(end) == F.col(f"node_{end}")
+            pairs = pairs.join(side, on if last is None or end == "v" else on & last)
         return pairs
 
     def found(self, pairs: DataFrame) -> DataFrame:
-        met = self._joined(C.staged(pairs), self.reps, "sig")
-        likely = C.staged(met.filter(agreeing(F.col("sig_u"), F.col("sig_v")) >= self.matches).select("u", "v"))
+        near = possible(F.col("n_u"), F.col("bits_u"), F.col("n_v"), F.col("bits_v"), self.percent)
+        met = self._joined(C.staged(pairs), self.profiles, "n", "bits", "sig", last=near)
+        likely = C.staged(met.filter(agreeing(F.col("sig_u"), F.col("sig_v")) >= self.matches).select("u", "v").distinct())
         return C.checkpointed(confirmed(self._joined(likely, self.texts, "text"), self.percent, self.width).distinct())
 
 
@@ -194,23 +234,27 @@ def _open(posted: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(several, "key")
 
 
-def _with_hubs(posted: DataFrame, last: bool) -> DataFrame:
-    """Pairs (u, v) of each posting's smallest (or largest) node and its other nodes in other components."""
-    hub = F.max(F.struct("node", "root")) if last else F.min(F.struct("node", "root"))
-    hubs = posted.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    met = posted.join(hubs, "key").filter("root <> hub.root")
+def _with_hubs(posted: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each posting's hub, its node with the largest weight, and its other nodes."""
+    hubs = posted.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
+    met = posted.join(hubs, "key").filter("node <> hub.node")
     return met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
 
 
-def _rest(posted: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
-    """All pairs of a posting that lie in different components and agree in enough coordinates."""
+def _rest(posted: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a posting that lie in different components and whose sketches allow a link.
+
+    A pair that shares several postings leaves the join in one of them.
+    """
     parts = posted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    rows = posted.join(open_.select("key", F.col("top.root").alias("top")), "key").join(reps, "node")
-    outside = rows.filter("root <> top").select("key", F.col("node").alias("o"), F.col("root").alias("o_root"), F.col("sig").alias("o_sig"))
-    met = outside.join(rows, "key").filter("root <> o_root AND (root = top OR o < node)")
-    met = met.filter(agreeing(F.col("sig"), F.col("o_sig")) >= matches)
-    return met.select(F.least("node", "o").alias("u"), F.greatest("node", "o").alias("v")).distinct()
+    rows = posted.join(open_.select("key", F.col("top.root").alias("top")), "key").join(profiles.select("node", "n", "bits", "prefix"), "node")
+    outside = rows.filter("root <> top").select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", "bits", "prefix")])
+    apart = F.expr("root <> o_root AND (root = top OR o_node < node)")
+    near = possible(F.col("n"), F.col("bits"), F.col("o_n"), F.col("o_bits"), percent)
+    once = F.array_min(F.array_intersect("prefix", "o_prefix")) == F.col("o_key")
+    met = outside.withColumnRenamed("key", "o_key").join(rows, (F.col("o_key") == F.col("key")) & apart & near & once)
+    return met.select(F.least("node", "o_node").alias("u"), F.greatest("node", "o_node").alias("v")).distinct()
 
 
 def near_groups(
@@ -228,19 +272,18 @@ def near_groups(
     members = C.with_group(linkable, ["cls"], F.xxhash64("doc_id"), node=(F.col("doc_id"), "min"))
     members = C.checkpointed(members.select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig")))
     reps = members.filter("sig IS NOT NULL").select("node", "sig").dropDuplicates(["node", "sig"])
-    posted = C.checkpointed(prefixes(reps, count, matches))
-    wanted = C.checkpointed(posted.select("node").distinct())
-    reps = C.checkpointed(C.in_table(reps, wanted, "node"))
-    texts = C.staged(C.in_table(docs.select(F.col("doc_id").alias("node"), C.binary_text().alias("text")), wanted, "node"))
-
-    links = _Links(reps, texts, matches, percent, width)
-    found = links.found(_with_hubs(posted.withColumn("root", F.col("node")), last=False))
+    heads = C.checkpointed(prefixes(reps, count, matches))
+    texts = docs.select(F.col("doc_id").alias("node"), C.binary_text().alias("text"))
+    texts = C.staged(sketched(C.in_table(texts, heads, "node"), width))
+    profiles = C.staged(reps.join(heads, "node").join(texts.select("node", "n", "bits"), "node"))
+    posted = heads.select(F.explode("prefix").alias("key"), "node", "weight")
+
+    links = _Links(profiles, texts, matches, percent, width)
+    found = links.found(_with_hubs(posted))
     roots = components(found)
-    for candidates in (lambda p: _with_hubs(p, last=True), lambda p: _rest(p, reps, matches)):
-        more = links.found(candidates(C.checkpointed(_open(posted, roots))))
-        if not more.isEmpty():
-            found = found.union(more)
-            roots = components(found)
+    more = links.found(_rest(C.checkpointed(_open(posted, roots)), profiles, percent))
+    if not more.isEmpty():
+        roots = components(found.union(more))
     linked = members.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
     linked = linked.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
     all_rows = linked.unionByName(alone.withColumnRenamed("node", "component_id"))
