@@ -22,10 +22,11 @@ from maskwright.llm import common as C
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 
-# Documented limits of the verdict: a repeat counts from REPEAT words on; repeats may cover half
-# of the words, and the longest may have LONGEST words.
+# Documented limits of the verdict: a repeat counts from REPEAT words on; repeats may cover a fifth
+# of the words, and the longest may have LONGEST words. Words that repeats cover lie in repeated windows
+# too, so COVERED_PERCENT only has effect below WINDOW_PERCENT.
 REPEAT = 8
-COVERED_PERCENT = 50
+COVERED_PERCENT = 20
 LONGEST = 100
 # Base rules: at least this many words, and at most this share of them in repeated windows of three.
 MIN_WORDS, WINDOW, WINDOW_PERCENT = 50, 3, 50

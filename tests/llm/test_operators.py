@@ -52,6 +52,19 @@ def test_repeated_passage_is_rejected():
     assert repetition.repeat_spans("a " * 20) == [(0, 20)]
 
 
+def test_covered_fraction_alone_rejects(spark):
+    def text(n_other):
+        passages = [[f"p{k}w{i}" for i in range(60)] for k in range(3)]  # each twice: 360 words
+        other = [[f"x{k}y{i}" for i in range(n_other // 6)] for k in range(6)]
+        return " ".join(w for k in range(6) for w in passages[k % 3] + other[k])
+
+    docs = spark.createDataFrame([(1, text(480)), (2, text(1800))], "doc_id bigint, text string")
+    many, few = sorted(repetition.repetition(docs).collect())
+    assert (many.n_words, many.covered_words, few.n_words, few.covered_words) == (840, 360, 2160, 360)
+    assert [r.longest_repeat for r in (many, few)] == [60, 60] and not many.base_failed and not few.base_failed
+    assert (many.kept, few.kept) == (False, True)
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.taken(docs, block=8).collect()
     assert len(got) == len(rows)
