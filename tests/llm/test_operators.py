@@ -299,3 +299,17 @@ def test_byte_bpe(docs, rows, empty):
     for text in ("a\x1cb \x1f \x85\u2028 x", "\n\n a  b\n c \n", "日本語 🙂🙂 ½ ²³ Ⅷ", "a" * 3000, "don't WE'LL 's", "é\u0301", " ", "   x", "<|endoftext|>"):
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text)
         assert codec.decode(codec.encode(text)) == text.encode()
+
+
+def test_byte_bpe_white_space_runs():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        raw = file.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = byte_bpe.Codec(raw, public_tokenizers.PATTERN)
+    assert np.frombuffer(codec.encode("word \xa0 \xa0 word"), "<u4").tolist() == [4775, 11504, 1573]
+    spaces = ["\xa0 " * n for n in (1, 2, 4, 8)] + [" \xa0" * n for n in (1, 2, 4, 8)] + ["\n ", " \n", "\u3000 \t ", "\x1c \x1f ", "  ", " \u2028 ", "\x85 "]
+    for run in spaces:
+        for text in (f"word {run}word", f"word{run} word", f"word{run}word", f"{run}a b{run}", f"a b {run} c's {run}"):
+            assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text), text
+            assert codec.decode(codec.encode(text)) == text.encode()
