@@ -16,6 +16,7 @@ Parquet table of blocks with the documents that lie in them, and a table with th
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import unicodedata
 import uuid
@@ -130,14 +131,20 @@ def decode_block(data: bytes, table: Table, first: int = 0, count: int | None =
 class WordTokenizer:
     """The tokenizers library's ids of whole texts, word by word.
 
-    The tokenizer drops white space and merges inside parts that its pattern finds in the composed,
-    lower-cased text. So a text's ids are those of its words, one after another. Parts not met before
-    go to the library together; each part's last id is one that ends a word.
+    The tokenizer cuts the raw text at the strings of its added tokens, which get their ids; they hold no
+    white space. Of the rest it drops white space and merges inside parts that its pattern finds in the
+    composed, lower-cased text. So a text's ids are those of its words, one after another. Parts not met
+    before go to the library together; each part's last id is one that ends a word.
     """
 
     def __init__(self, definition: str) -> None:
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.library.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip or len(t.content.split()) != 1 for t in added.values()):
+            raise ValueError("an added token is not a plain string without white space")
+        self.added = {t.content: struct.pack("<I", i) for i, t in added.items()}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(longest_first)})").split if added else lambda word: [word]
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
@@ -147,8 +154,8 @@ class WordTokenizer:
         self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        split = {w: self.split(_lower(unicodedata.normalize("NFC", w.decode()))) for w in words}
-        new = list({p for parts in split.values() for p in parts}.difference(self.parts))
+        split = {w: self._split(w.decode()) for w in words}
+        new = list({p for parts in split.values() for p in parts if p not in self.added}.difference(self.parts))
         if new:
             ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -158,9 +165,16 @@ class WordTokenizer:
             for part, cut in zip(new, (cuts * 4).tolist(), strict=True):
                 self.parts[part] = data[at:cut]
                 at = cut
-        parts = self.parts
+        parts, added = self.parts, self.added
         for word, own in split.items():
-            self.words[word] = b"".join([parts[p] for p in own])
+            self.words[word] = b"".join([added.get(p) or parts[p] for p in own])
+
+    def _split(self, word: str) -> list[str]:
+        """Added tokens as they are, and the parts of what lies between them; no part equals an added token."""
+        out: list[str] = []
+        for i, piece in enumerate(self.cut(word)):
+            out += [piece] if i % 2 else self.split(_lower(unicodedata.normalize("NFC", piece)))
+        return out
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Ids as little-endian 32-bit integers, each text's with ``end`` appended."""

@@ -219,6 +219,21 @@ def test_token_files(spark, docs, rows, empty, tmp_path, monkeypatch):
     assert token_files.read_files(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_added_tokens(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b x<|startoftext|>y", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <| endoftext |>", "<|endoftext|>\u0338 e<|startoftext|>\u0301", "it<|endoftext|>'s\u00a0<|endoftext|>", "after"]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321, 343, 49406, 344]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(1)
+    token_files.write_files(docs, str(tmp_path / "t"), path, end=2)
+    expected, start = [], 0
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert by_id(token_files.read_files(spark, str(tmp_path / "t"))) == expected
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(0)
     for n in (1, 2, 1000, 5000, 300_000):
