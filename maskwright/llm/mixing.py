@@ -34,10 +34,14 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(C.WORD)), F.lit(0)).cast("bigint")
 
 
+def _key() -> Column:
+    """The source with null as a value of its own."""
+    return F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(key, source, doc_id, size): ``key`` is the source with null as a value of its own."""
-    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    return docs.select(key.alias("key"), "source", "doc_id", words_in(F.col("text")).alias("size"))
+    return docs.select(_key().alias("key"), "source", "doc_id", words_in(F.col("text")).alias("size"))
 
 
 def targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -157,9 +161,8 @@ def taken(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
 
 def mixed_blocks(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """The mix itself: (shard, source, n, block, tokens), each block with its words in order."""
-    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(C.WORD), F.lit(0))
-    rows = docs.select(key.alias("key"), "source", "doc_id", words.alias("list")).withColumn("size", F.size("list").cast("bigint"))
+    rows = docs.select(_key().alias("key"), "source", "doc_id", words.alias("list")).withColumn("size", F.size("list").cast("bigint"))
     sizes = placed(rows)
     sources = C.checkpointed(targets(sizes.select("key", "source", "doc_id", "size"), block))
     begin = F.greatest(F.col("start"), F.col("block") * block)
@@ -173,15 +176,50 @@ def mixed_blocks(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFram
 
 
 def repeat_documents(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """The documents as often as the mix takes them: taken / size times, a fraction by a hash of the document.
+    """The documents as often as the mix takes them: taken / size times, rounded so that each source keeps its words.
 
-    Keeps the input's columns. Rows that repeat a doc_id share what is taken of them.
+    Keeps the input's columns. Rows that repeat a doc_id in a source and have equal sizes share what is
+    taken of them. A document of rate r has floor(r) copies or one more, the latter by a hash that the
+    fraction outweighs more or less. In the order of that difference, documents get one more until their
+    words come to what the source's fractions come to: a source is off by half a document at most.
+    Which of several rows with equal doc_id, source and text get it is left open.
     """
-    rate = taken(docs, seed, block).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("rate"))
-    rows = C.whole_rows(docs, key=F.col("doc_id"), chance=F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / (1 << 20))
-    found = rows.join(rate, rows["key"].eqNullSafe(rate["doc_id"]))
-    copies = (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return found.withColumn("copies", copies).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    unit = ["key", "doc_id", "size", "print"]
+    text = F.col("text")
+    rows = C.whole_rows(docs, key=_key(), doc_id=F.col("doc_id"), size=words_in(text), print=F.xxhash64(text)).filter("size > 0")
+    # Of ``all`` rows together, ``rest`` words remain beside ``least`` whole copies of each.
+    rates = (
+        taken(docs, seed, block).filter("size > 0").groupBy(_key().alias("key"), "doc_id", "size")
+        .agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("all")).filter("taken > 0")
+        .select("key", F.col("doc_id").alias("id"), "size", "all", F.expr("taken div (all * size)").alias("least"), F.expr("taken % (all * size)").alias("rest"))
+    )
+    units = rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("rows"))
+    units = units.join(rates, (units["key"] == rates["key"]) & units["doc_id"].eqNullSafe(rates["id"]) & (units["size"] == rates["size"])).select(
+        *[units[c] for c in unit], "rows", "all", "least", "rest"
+    )
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "print"), F.lit(1 << 20)) / (1 << 20)
+    units = units.withColumn("late", chance - F.col("rest") / (F.col("all") * F.col("size")))
+    units = units.withColumn("chunk", F.floor((F.col("late") + 1) * (CHUNKS // 2))).withColumn(
+        "words", F.when(F.col("rest") > 0, F.col("rows") * F.col("size")).otherwise(0)
+    )
+    # Goals are counted in 1024ths of a word: sums of whole numbers are the same in every order.
+    chunks = units.groupBy("key", "chunk").agg(F.sum("words").alias("words"), F.sum(F.expr("rest * rows * 1024 div all")).alias("goal"))
+    earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    chunks = chunks.select(
+        "key", "chunk", (F.sum("words").over(earlier) - F.col("words")).alias("before"), F.sum("goal").over(Window.partitionBy("key")).alias("goal")
+    )
+    inside = Window.partitionBy("key", "chunk").orderBy("late", "doc_id", "size", "print").rowsBetween(Window.unboundedPreceding, 0)
+    within = units.withColumn("within", F.sum("words").over(inside) - F.col("words"))
+    open_words = F.col("goal") / 1024 - F.col("before") - F.col("within")
+    more = F.least(F.col("rows"), F.greatest(F.lit(0), F.floor(open_words / F.col("size") + 0.5)))
+    copies = (
+        within.join(chunks, ["key", "chunk"]).withColumn("more", F.when(F.col("rest") > 0, more).otherwise(0)).filter("least > 0 OR more > 0")
+        .select(F.col("key").alias("k"), F.col("doc_id").alias("id"), F.col("size").alias("n"), F.col("print").alias("p"), "least", "more")
+    )
+    same = (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("n")) & (F.col("print") == F.col("p"))
+    number = F.row_number().over(Window.partitionBy(*unit).orderBy(F.lit(0)))
+    found = rows.join(copies, same).withColumn("copies", (F.col("least") + (number <= F.col("more")).cast("int")).cast("int"))
+    return found.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,37 @@ def test_mixing(docs, rows, empty):
     assert mixing.repeat_documents(empty).count() == 0
 
 
+def test_repeated_documents_keep_source_sums(spark):
+    sizes = {s: [20 + 37 * (i * i % (n + 1)) % 400 for i in range(n)] for s, n in (("a", 300), ("b", 150), ("c", 200), (None, 120))}
+    sizes["b"].append(sum(sizes["b"]) // 2)  # a third of its source's words
+    data = [(1000 * k + i, " ".join([f"w{k}"] * n), s) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    data += [(None, "x " * 50, "c"), (5, "y " * 30, "b"), (5, "y " * 30, "b"), (6, None, "a"), (7, " ", None)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(4)
+    want, got, longest = collections.Counter(), collections.Counter(), collections.Counter()
+    rate = collections.defaultdict(lambda: [0, 0])
+    for r in mixing.taken(docs).collect():
+        want[r.source] += r.taken
+        longest[r.source] = max(longest[r.source], r.size)
+        rate[r.source, r.doc_id, r.size][0] += r.taken
+        rate[r.source, r.doc_id, r.size][1] += r.size
+    mix = mixing.repeat_documents(docs).collect()
+    times = collections.Counter()
+    for r in mix:
+        n = len(WORD.findall(r.text))
+        got[r.source] += n
+        times[r.source, r.doc_id, n] += n
+    for s in sizes:
+        assert abs(got[s] - want[s]) <= longest[s] / 2 + 1, s
+    for unit, (words, size) in rate.items():
+        assert not size or abs(times[unit] - words) < size
+    assert by_id(mixing.repeat_documents(docs)) == sorted(map(tuple, mix), key=repr)
+    # A source of documents of one size comes within half a document of its sum.
+    even = spark.createDataFrame([(i, "w " * 100, s) for i, s in enumerate(["a"] * 600 + ["b"] * 400 + ["c"] * 300)], "doc_id bigint, text string, source string")
+    want = {r.source: r.n for r in mixing.taken(even).groupBy("source").agg({"taken": "sum"}).toDF("source", "n").collect()}
+    got = {r.source: 100 * r["count"] for r in mixing.repeat_documents(even).groupBy("source").count().collect()}
+    assert all(abs(got[s] - want[s]) <= 51 for s in want)
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
