@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.llm import (
     byte_bpe,
+    divergence,
     exact_dedup,
     language_id,
     mixing,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.query,
     "op9_url_filter": url_filter.query,
     "op10_byte_bpe": byte_bpe.query,
+    "op11_divergence": divergence.query,
 }
 
-SQL = {"op5_sharding": sharding.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL}
+SQL = {"op5_sharding": sharding.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL, "op11_divergence": divergence.SQL}
