@@ -9,8 +9,10 @@ from maskwright.llm import (
     divergence,
     exact_dedup,
     language_id,
+    lm_scoring,
     mixing,
     near_dedup,
+    prefix_trie,
     repetition,
     sharding,
     token_files,
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": url_filter.query,
     "op10_byte_bpe": byte_bpe.query,
     "op11_divergence": divergence.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_lm_scoring": lm_scoring.query,
 }
 
-SQL = {"op5_sharding": sharding.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL, "op11_divergence": divergence.SQL}
+SQL = {"op5_sharding": sharding.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL, "op11_divergence": divergence.SQL, "op12_prefix_trie": prefix_trie.SQL}
