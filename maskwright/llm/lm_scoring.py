@@ -15,7 +15,8 @@ them; slices of the key space add these up and answer every block in the order o
 automaton then has exactly the states and arcs that its texts can reach. Slices follow the number of tokens, so both the
 tasks and what they gather grow with the corpus, and a word that fills a third of it is one entry per block.
 
-* Words are compared exactly; n-grams of two words and more by 64-bit hashes of their words' hashes.
+* Words are compared exactly; n-grams of two words and more by hashes of their words' hashes. These have 24 bits more than the
+  number of tokens: the chance that an n-gram shares its hash with another one is about 2^-24 at every size.
 * Tokens: A-Z lower-cased words, then one end. A null or empty text has the end alone. A document without doc_id is not held out.
 * Repeated rows are trained on and scored each by itself. Without training documents all counts are 0, and a token's base is log10(1).
 * An empty table gives no rows. Columns beside doc_id and text are not read.
@@ -23,7 +24,6 @@ tasks and what they gather grow with the corpus, and a word that fills a third o
 
 from __future__ import annotations
 
-import os
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -31,6 +31,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ from maskwright.llm import common as C
 
 ORDER = 3
 MASS = {2: 1000.0, 3: 50.0}
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 SLICE = 1_500_000  # tokens per slice of the key space, about
+SPARE_BITS = 24
 LANE = 1024  # a long text is traversed in lanes of so many tokens
 
 _BLOCKS = pa.schema(
@@ -82,11 +84,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block() -> pa.RecordBatch:
         train = [n + 1 for n, h in zip(lengths, held, strict=True) if not h]
         row = [
-            int.from_bytes(os.urandom(7), "little"), doc_ids, held, lengths, packed(np.concatenate(tokens)), b"\n".join(words),
+            (TaskContext.get().partitionId() << 32) + next(number), doc_ids, held, lengths, packed(np.concatenate(tokens)), b"\n".join(words),
             len(words), sum(lengths) + len(lengths), sum(train), len(train),
         ]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
+    number = count()
     words, doc_ids, held, lengths, tokens, size = defaultdict(), [], [], [], [], 0
     start()
     for batch in C.text_batches(batches):
@@ -130,14 +133,14 @@ class Block:
     def word_hashes(self) -> np.ndarray:
         return np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
 
-    def ngrams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For n = 2 … order: the positions that end an n-gram, and its key."""
+    def ngrams(self, order: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n = 2 … order: the positions that end an n-gram, and its key of so many bits."""
         own = np.append(self.word_hashes(), np.array([0xE1, 0x57], np.uint64))[self.ids]
         keys = own
         for n in range(2, order + 1):
             keys = _mixed(np.concatenate([np.zeros(1, np.uint64), keys[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + own)
             where = np.flatnonzero(self.behind >= n - 1)
-            yield where, keys[where]
+            yield where, keys[where] >> np.uint64(64 - bits)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -162,9 +165,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _slices_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+def _slices_of(keys: np.ndarray, slices: int, bits: int = 64) -> np.ndarray:
     """Slices are equal ranges of the key space; their number is a power of two."""
-    return (hashes >> np.uint64(64 - (slices.bit_length() - 1))).astype(np.int64) if slices > 1 else np.zeros(len(hashes), np.int64)
+    return (keys >> np.uint64(bits - (slices.bit_length() - 1))).astype(np.int64) if slices > 1 else np.zeros(len(keys), np.int64)
 
 
 def _word_requests(slices: int):
@@ -201,14 +204,14 @@ def _add_words(table: pa.Table) -> pa.Table:
     return _answered(table, answers, sum(1 for n in totals.values() if n))
 
 
-def _ngram_requests(slices: int, order: int):
+def _ngram_requests(slices: int, order: int, bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Block(row)
-            for n, (where, keys) in enumerate(block.ngrams(order), 2):
+            for n, (where, keys) in enumerate(block.ngrams(order, bits), 2):
                 distinct, inverse = np.unique(keys, return_inverse=True)
                 counts = np.bincount(inverse[block.train[where]], minlength=len(distinct))
-                place = _slices_of(distinct, slices)
+                place = _slices_of(distinct, slices, bits)
                 bounds = np.flatnonzero(np.diff(place, prepend=-1))
                 out = []
                 for a, b in zip(bounds, np.append(bounds[1:], len(distinct)), strict=True):
@@ -239,13 +242,13 @@ class Automaton:
     of its first n - 1 words. ``arc[n][position]`` is the n-gram that ends at a position, or -1.
     """
 
-    def __init__(self, block: Block, counts: dict[int, np.ndarray], base: np.ndarray, order: int, mass: dict[int, float]) -> None:
+    def __init__(self, block: Block, counts: dict[int, np.ndarray], base: np.ndarray, order: int, mass: dict[int, float], bits: int) -> None:
         """``counts`` by order, aligned with words (then end, start) or with the sorted keys; ``base``: p of each word without history."""
         self.block, self.order = block, order
         self.arc, self.seen = {1: block.ids}, {1: counts[1] > 0}
         self.weight, self.failure = {1: np.log10(base)}, {}
         probability = base
-        for n, (where, keys) in enumerate(block.ngrams(order), 2):
+        for n, (where, keys) in enumerate(block.ngrams(order, bits), 2):
             _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
             own = np.full(len(block.ids), -1, np.int64)
             own[where] = inverse
@@ -309,7 +312,7 @@ _SCORED_DDL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint,
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(tokens: int, types: int, train_docs: int, word_slices: int, order: int, mass: dict[int, float]):
+def _score(tokens: int, types: int, train_docs: int, word_slices: int, order: int, mass: dict[int, float], bits: int):
     def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return _SCORED.empty_table()
@@ -325,7 +328,7 @@ def _score(tokens: int, types: int, train_docs: int, word_slices: int, order: in
         counts = {1: words} | {n: np.concatenate([by_order[n][s] for s in sorted(by_order[n])]).astype(np.float64) for n in range(2, order + 1) if by_order[n]}
         counts |= {n: np.zeros(0) for n in range(2, order + 1) if n not in counts}
         base = (words + 0.5) / (tokens + 0.5 * (types + 1))
-        automaton = Automaton(block, counts, base, order, mass)
+        automaton = Automaton(block, counts, base, order, mass, bits)
         document = np.repeat(np.arange(len(block.lengths)), block.lengths + 2)
         read = block.ids != block.start
         sums = lambda values: np.bincount(document[read], values[block.ids[read]], len(block.lengths))
@@ -353,13 +356,14 @@ def scored(docs: DataFrame, order: int = ORDER, mass: dict[int, float] = MASS, s
     asked = blocks.mapInArrow(_word_requests(word_slices), _REQUEST_DDL)
     words = C.staged(asked.groupBy("slice").applyInArrow(_add_words, _ANSWER_DDL))
     types = words.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0] + (sums["train_docs"] > 0)
+    bits = min(64, sums["n_tokens"].bit_length() + SPARE_BITS)
     answers = words.select("block", F.lit(1).alias("order"), "slice", "counts")
     if order > 1:
         slices = _power_of_two(-(-sums["n_tokens"] // slice_tokens))
-        asked = blocks.mapInArrow(_ngram_requests(slices, order), _REQUEST_DDL)
+        asked = blocks.mapInArrow(_ngram_requests(slices, order, bits), _REQUEST_DDL)
         ngrams = asked.groupBy("slice").applyInArrow(_add_ngrams, _ANSWER_DDL)
         answers = answers.unionByName(ngrams.select("block", F.floor(F.col("slice") / slices).cast("int").alias("order"), "slice", "counts"))
-    score = _score(sums["train_tokens"], types, sums["train_docs"], word_slices, order, mass)
+    score = _score(sums["train_tokens"], types, sums["train_docs"], word_slices, order, mass, bits)
     texts = blocks.select("block", "doc_ids", "held", "lengths", "tokens", "words", "n_words")
     texts = texts.select(*[F.col(c).alias(c) for c in texts.columns])
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _SCORED_DDL)

@@ -351,10 +351,10 @@ WITH turns AS (
 ),
 crc AS (
     SELECT conv_id, turns, xor(list_reduce(
-        list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), c -> ord(c)::BIGINT)),
-        (s, b) -> list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+        lambda s, b: list_reduce(
             list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
-            (r, i) -> CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END
+            lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END
         )
     ), 4294967295::BIGINT) % 9 AS h
     FROM turns
