@@ -39,7 +39,7 @@ from maskwright.llm import common as C
 
 ORDER = 3
 MASS = {2: 1000.0, 3: 50.0}
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 SLICE = 1_500_000  # tokens per slice of the key space, about
 SPARE_BITS = 24
 LANE = 1024  # a long text is traversed in lanes of so many tokens
@@ -250,7 +250,7 @@ class Automaton:
         probability = base
         for n, (where, keys) in enumerate(block.ngrams(order, bits), 2):
             _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            own = np.full(len(block.ids), -1, np.int64)
+            own = np.full(len(block.ids), -1, np.int32)
             own[where] = inverse
             first = where[first]
             history, shorter = self.arc[n - 1][first - 1], self.arc[n - 1][first]
