@@ -10,7 +10,7 @@ TURNS = """
                CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS para_idx
         FROM conversations)"""
 SOURCE = "source AS ({})".format(
-    forms.SOURCE.format(customer="customer", nation="nation", supplier="supplier", orders="orders")
+    forms.SOURCE.format(**{t: t for t in forms.TABLES})
 )
 SPAN = O._SPAN
 
@@ -113,13 +113,16 @@ PER_TYPE = """
     FROM outcome GROUP BY ALL"""
 
 MODE_DELTA = """
-    SELECT doc_id, count(*) FILTER (mode = 'rules') AS rules, count(*) FILTER (mode = 'hybrid') AS hybrid,
+    SELECT l.doc_id * 100 + l.para_idx AS doc_id, count(*) FILTER (mode = 'rules') AS rules,
+           count(*) FILTER (mode = 'hybrid') AS hybrid,
            count(*) FILTER (mode = 'hybrid') - count(*) FILTER (mode = 'rules') AS added
-    FROM (SELECT 'rules' AS mode, doc_id FROM by_rules UNION ALL SELECT 'hybrid', doc_id FROM by_hybrid)
-    GROUP BY doc_id"""
+    FROM lines l LEFT JOIN (
+        SELECT 'rules' AS mode, doc_id, para_idx FROM by_rules UNION ALL SELECT 'hybrid', doc_id, para_idx FROM by_hybrid
+    ) USING (doc_id, para_idx)
+    GROUP BY l.doc_id, l.para_idx"""
 
 SUMMARY = f"""
-    SELECT d.doc_id, 'rules' AS mode, coalesce(changed_paragraphs, 0) AS changed_paragraphs,
+    SELECT d.doc_id, 'rules' AS mode, CAST(NULL AS VARCHAR) AS ner_model, coalesce(changed_paragraphs, 0) AS changed_paragraphs,
            coalesce(redactions, '{{}}') AS redactions, coalesce(unique_replacements, 0) AS unique_replacements,
            coalesce(total_redactions, 0) AS total_redactions, coalesce(types_found, 0) AS types_found
     FROM (SELECT DISTINCT doc_id FROM lines) d
@@ -162,8 +165,13 @@ RUN_PIECES = """
         FROM placed JOIN runs USING (doc_id, para_idx) WHERE run_start <= start AND start < run_end)"""
 
 LEAKS = """
-    gone AS (SELECT doc_id, regexp_replace(text, '^(Card|Email): ', '') AS value FROM lines WHERE para_idx IN (2, 7)),
-    kept AS (SELECT doc_id, text AS value FROM lines WHERE para_idx IN (0, 13, 27))"""
+    gone AS (SELECT * FROM (SELECT doc_id, unnest([
+        regexp_extract(text, 'paid with ([0-9 ]+)$', 1), regexp_extract(text, 'leave word at (.+)$', 1),
+        regexp_extract(text, 'Order ([0-9-]+) stands', 1), regexp_extract(text, 'P(arcel [0-9]+ w)', 1)]) AS value
+        FROM lines) WHERE value <> ''),
+    kept AS (SELECT * FROM (SELECT doc_id, unnest([
+        regexp_extract(text, '^(Parcel [0-9]+ waits)', 1), regexp_extract(text, 'Desk (.+) or', 1)]) AS value
+        FROM lines) WHERE value <> '')"""
 LEAKS_SELECT = """
     SELECT DISTINCT doc_id, value, 'remains' AS problem
     FROM gone JOIN redacted USING (doc_id) WHERE contains(redacted, value)
@@ -174,7 +182,7 @@ LEAKS_SELECT = """
 COVERAGE = """
     SELECT doc_id, coalesce(string_agg(t, ',' ORDER BY t) FILTER (NOT hit), '') AS lacking, bool_and(hit) AS complete
     FROM (SELECT d.doc_id, t, EXISTS (SELECT 1 FROM first_pass f WHERE f.doc_id = d.doc_id AND f.pii_type = t) AS hit
-          FROM (SELECT DISTINCT doc_id FROM first_pass) d
+          FROM (SELECT DISTINCT doc_id FROM lines) d
                CROSS JOIN (SELECT unnest(['name', 'email', 'phone', 'company', 'address', 'ssn', 'card', 'dob', 'ip']) AS t))
     GROUP BY doc_id"""
 
@@ -197,8 +205,9 @@ SQL: dict[str, str] = {
     ),
     "preview": O.with_(
         DOCS, PREVIEW,
-        select="SELECT doc_id, CAST(n AS INTEGER) AS line_no, line, total_lines, total_lines > 48 AS truncated "
-        "FROM numbered WHERE n <= 48",
+        select="SELECT d.doc_id, CAST(n AS INTEGER) AS line_no, line, coalesce(total_lines, 0) AS total_lines, "
+        "coalesce(total_lines, 0) > 48 AS truncated "
+        "FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN (SELECT * FROM numbered WHERE n <= 48) USING (doc_id)",
     ),
     "text_helpers": O.with_(FORMS, select=HELPERS),
     "email_spans": O.spans_of("email", DOCS),
@@ -253,7 +262,8 @@ SQL: dict[str, str] = {
     "scores": O.with_(*CASES, select=SCORES),
     "per_type": O.with_(*CASES, select=PER_TYPE),
     "leaks": O.with_(FORMS, *O.redaction(), LEAKS, select=LEAKS_SELECT),
-    "coverage": O.with_(FORMS, *FIRST_PASS, select=COVERAGE),
+    "coverage": "SELECT 'forms' AS corpus, * FROM (" + O.with_(FORMS, *FIRST_PASS, select=COVERAGE)
+    + ") UNION ALL SELECT 'documents', * FROM (" + O.with_(DOCS, *FIRST_PASS, select=COVERAGE) + ")",
     "mode_delta": O.with_(*CASES, select=MODE_DELTA),
     "streamed_redaction": O.with_(DOCS, *O.redaction(), select=_text),
 }

@@ -50,7 +50,7 @@ _GROUPED = " || ' ' || ".join(f"substr({_CARD}, {i}, 4)" for i in (1, 5, 9, 13))
 _LANDLINE = f"'(312) 555-' || {_text('k % 10000', 4)}"
 
 LINES = (
-    f"'Parcel ' || {_text('k')} || ' waits'",
+    f"'Parcel ' || {_text('k')} || ' waits, one of ' || {_text('orders_so_far')}",
     f"'Locker opened from 10.' || {_text('k % 300')} || '.' || {_text('k % 100')} || '.7 at dawn'",
     f"'Packed by ' || {_COMPANY} || ', two boxes'",
     f"'Customs keeps it under ' || {_text('100 + k % 800')} || '-' || {_text('k % 100', 2)} || '-' || {_text('k % 10000', 4)}",
@@ -82,26 +82,33 @@ LINES = (
     f"'Call ' || {_LANDLINE} || ', or x' || {_LANDLINE} || ', Harbour Goods ' || {_text('supplier')} || '!'",
 )
 
+# One form per customer with orders: how many, and date and supplier of the last one.
 SOURCE = """
-    SELECT c_custkey AS k, n_name AS nation, s_suppkey AS supplier,
-           CAST(extract(DAY FROM o_orderdate) AS INT) AS day,
-           CAST(extract(MONTH FROM o_orderdate) AS INT) AS month,
-           CAST(extract(YEAR FROM o_orderdate) AS INT) AS year
+    SELECT c_custkey AS k, n_name AS nation, s_suppkey AS supplier, orders_so_far,
+           CAST(extract(DAY FROM last_date) AS INT) AS day,
+           CAST(extract(MONTH FROM last_date) AS INT) AS month,
+           CAST(extract(YEAR FROM last_date) AS INT) AS year
     FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey
-         JOIN {supplier} ON s_suppkey = c_custkey % 10
-         JOIN {orders} ON o_orderkey = c_custkey
+         JOIN (SELECT o_custkey, count(*) AS orders_so_far, max_by(o_orderdate, o_orderkey) AS last_date,
+                      max_by(order_supplier, o_orderkey) AS last_supplier
+               FROM {orders} JOIN (SELECT l_orderkey, min(l_suppkey) AS order_supplier FROM {lineitem}
+                                   GROUP BY l_orderkey) AS items ON l_orderkey = o_orderkey
+               GROUP BY o_custkey) AS ordered ON o_custkey = c_custkey
+         JOIN {supplier} ON s_suppkey = last_supplier
 """
 
+TABLES = ("customer", "nation", "supplier", "orders", "lineitem")
+
 SQL = f"""
     SELECT k AS doc_id, CAST(unnest(range({len(LINES)})) AS INTEGER) AS para_idx,
            unnest([{', '.join(LINES)}]) AS text
-    FROM ({SOURCE.format(customer='customer', nation='nation', supplier='supplier', orders='orders')})
+    FROM ({SOURCE.format(**{t: t for t in TABLES})})
 """
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per customer, ``(doc_id, text)``."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "supplier", "orders")}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     return spark.sql(SOURCE, **tables).select(
         F.col("k").alias("doc_id"), F.array_join(F.array(*[F.expr(line) for line in LINES]), "\n").alias("text")
     )
@@ -143,6 +150,6 @@ def gold(which: int) -> str:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "supplier", "orders")}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     rows = spark.sql(ENTITIES.replace("FROM source", "FROM {source}"), source=spark.sql(SOURCE, **tables))
     return rows.withColumnRenamed("stop", "end")

@@ -107,21 +107,21 @@ def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.learn(form_lines(spark, sf_dir))
 
 
-def dictionary_hits(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+def dictionary_hits(spark: SparkSession, sf_dir: str, hint: str | None = None) -> DataFrame:
     lines = form_lines(spark, sf_dir)
     words = Workspace(spark).stage(dictionary.learn(lines), "dictionary")
-    return dictionary.dictionary_hits(lines.drop("prev_text"), words, **options)
+    return dictionary.dictionary_hits(lines.drop("prev_text"), words, hint)
 
 
 def dictionary_hits_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``dictionary_hits``, with every document's dictionary counted as a large one."""
-    return dictionary_hits(spark, sf_dir, in_row=0)
+    """As ``dictionary_hits``, by a sort-merge join, as for a dictionary of any size."""
+    return dictionary_hits(spark, sf_dir, "merge")
 
 
 def resolved_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = form_lines(spark, sf_dir)
     words = Workspace(spark).stage(dictionary.learn(lines), "dictionary")
-    return detectors.span_rows(resolved(lines, words, large_documents=False), "spans")
+    return detectors.span_rows(resolved(lines, words), "spans")
 
 
 def resolved_document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,20 +221,34 @@ def per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Card numbers and e-mail lines must be gone, intake and order lines kept."""
+    """Values that should be gone and controls that should stand, taken from the forms by what their lines say.
+
+    Cards and mail addresses must be gone. Order numbers and a stretch that begins inside a word stand in the
+    text all the same: they remain. Of what should stand, the numbers of night desks are missing.
+    """
     lines = form_lines(spark, sf_dir)
-    value = F.regexp_replace("text", "^(Card|Email): ", "").alias("value")
-    gone = lines.filter(F.col("para_idx").isin(2, 7)).select("doc_id", value)
-    kept = lines.filter(F.col("para_idx").isin(0, 13, 27)).select("doc_id", F.col("text").alias("value"))
-    return score.leaks(redact(lines).redacted, gone, kept)
+    after = lambda head, value: F.regexp_extract("text", f"{head}{value}", 1)
+    gone = lines.select(
+        "doc_id",
+        F.explode(F.array(after("paid with ", "([0-9 ]+)$"), after("leave word at ", "(.+)$"), after("Order ", "([0-9-]+) stands"), after("P", "(arcel [0-9]+ w)"))).alias("value"),
+    )
+    kept = lines.select("doc_id", F.explode(F.array(after("", "^(Parcel [0-9]+ waits)"), after("Desk ", "(.+) or"))).alias("value"))
+    some = F.col("value") != ""
+    return score.leaks(redact(lines).redacted, gone.filter(some), kept.filter(some))
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.coverage(detectors.span_rows(resolved(form_lines(spark, sf_dir)), "spans"))
+    """Forms, and the plain documents, most of which lack most types."""
+    forms, plain = form_lines(spark, sf_dir), documents(spark, sf_dir)
+    found = lambda rows: detectors.span_rows(resolved(rows), "spans")
+    of_forms = score.coverage(found(forms), forms).withColumn("corpus", F.lit("forms"))
+    return of_forms.unionByName(score.coverage(found(plain), plain).withColumn("corpus", F.lit("documents")))
 
 
 def mode_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.mode_delta(_case_spans(spark, sf_dir))
+    """Per line of the forms, each a case of its own: many have no find in either mode."""
+    lines = _cases(spark, sf_dir).select(F.col("case_id").alias("doc_id"))
+    return score.mode_delta(_case_spans(spark, sf_dir).select("mode", F.col("case_id").alias("doc_id")), lines)
 
 
 def hybrid_text(spark: SparkSession, sf_dir: str) -> DataFrame:

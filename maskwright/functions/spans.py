@@ -2,7 +2,8 @@
 
 ``regexp_extract_all`` returns no offsets. Here every match is wrapped in two private-use
 characters, the text is split at them, and a running length over the pieces gives the offsets
-(in code points). All of it stays in the JVM and needs no shuffle.
+(in code points). All of it stays in the JVM and needs no shuffle. Folds hold a state of fixed size
+(``functions.sweep``), so that a line with very many finds takes time in proportion.
 """
 
 from collections.abc import Callable
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from maskwright import fixed_values as fixed
 from maskwright.functions.dialect import java, label_and_value
-from maskwright.functions.text import is_blank
+from maskwright.functions.sweep import groups_at, let, sweep
+from maskwright.functions.text import cut, in_blocks, is_blank
 from maskwright.schema import SPAN, SPANS
 
 OPEN, CLOSE = "\ue000", "\ue001"
@@ -43,38 +45,46 @@ def span(start: Column, end: Column, pii_type: str | Column, value: Column, rank
     ).cast(SPAN)
 
 
-def _spans_of_marked(marked: Column, pii_type: str | Column, rank: int | Column) -> Column:
-    empty = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), no_spans().alias("found"))
+def marked(text: Column, pattern: str) -> Column:
+    """``text`` with marks around all matches of a Python-syntax ``pattern``, left to right."""
+    return F.regexp_replace(text, java(pattern), f"{OPEN}$0{CLOSE}")
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        return F.struct(
-            end.alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(
-                acc["inside"], F.concat(acc["found"], F.array(span(acc["at"], end, pii_type, piece, rank)))
-            ).otherwise(acc["found"]).alias("found"),
-        )
 
-    return F.aggregate(F.split(marked, f"[{OPEN}{CLOSE}]", -1), empty, step, lambda acc: acc["found"])
+def marked_after_label(text: Column, pattern: tuple[str, str]) -> Column:
+    """``text`` with marks around what the value part of a (label, value) pattern captures, at every match."""
+    return F.regexp_replace(text, label_and_value(*pattern), f"$1{OPEN}$2{CLOSE}")
+
 
+_PLACED = "struct<start: int, end: int, value: string>"
+PLACES = f"array<{_PLACED}>"
 
-def find(text: Column, pattern: str, pii_type: str, rank: int) -> Column:
-    """All matches of a Python-syntax ``pattern``, left to right."""
-    return _spans_of_marked(F.regexp_replace(text, java(pattern), f"{OPEN}$0{CLOSE}"), pii_type, rank)
+
+def placed(marked_text: Column) -> Column:
+    """``(start, end, value)`` of what stands between marks."""
+    step = lambda s, piece: F.struct((s["at"] + F.length(piece)).alias("at"), (~s["inside"]).alias("inside"))
+    found = lambda s, piece: F.when(
+        s["inside"], F.struct(s["at"].alias("start"), (s["at"] + F.length(piece)).alias("end"), piece.alias("value"))
+    )
+    before = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"))
+    return sweep(F.split(marked_text, f"[{OPEN}{CLOSE}]", -1), before, step, found, "struct<at: int, inside: boolean>", _PLACED)
 
 
-def find_after_label(text: Column, pattern: tuple[str, str], pii_type: str, rank: int) -> Column:
-    """What the value part of a (label, value) pattern captures, at every match."""
-    marked = F.regexp_replace(text, label_and_value(*pattern), f"$1{OPEN}$2{CLOSE}")
-    return _spans_of_marked(marked, pii_type, rank)
+def typed(places: Column, pii_type: str, rank: int) -> Column:
+    return F.transform(places, lambda s: span(s["start"], s["end"], pii_type, s["value"], rank))
 
 
 def find_literal(text: Column, value: Column, pii_type: Column, rank: Column) -> Column:
-    """Occurrences of ``value`` that touch no word character on either side."""
+    """Occurrences of ``value`` that touch no word character on either side.
+
+    The length of a find is known, so the text is split at the finds themselves, whatever characters it holds.
+    """
     quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     pattern = F.concat(F.lit(java(r"(?<!\w)")), quoted, F.lit(java(r"(?!\w)")))
-    return _spans_of_marked(F.regexp_replace(text, pattern, F.lit(f"{OPEN}$0{CLOSE}")), pii_type, rank)
+    between = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
+    size = F.length(value)
+    step = lambda at, gap: at + gap + size
+    found = lambda at, gap: span(at + gap, at + gap + size, pii_type, value, rank)
+    return sweep(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), F.lit(0), step, found, "int", SPAN)
 
 
 def where(spans: Column, keep: Callable[[Column], Column]) -> Column:
@@ -90,14 +100,11 @@ def shifted(spans: Column, offset: Column) -> Column:
 
 def with_original_values(spans: Column, text: Column) -> Column:
     """Values cut from the text itself; they differ only where ``searchable`` replaced a mark."""
-    cut = F.transform(
+    own = lambda blocks: F.transform(
         spans,
-        lambda s: span(
-            s["start"], s["end"], s["pii_type"],
-            F.substring(text, s["start"] + 1, s["end"] - s["start"]), s["detector_rank"],
-        ),
+        lambda s: span(s["start"], s["end"], s["pii_type"], cut(blocks, s["start"], s["end"]), s["detector_rank"]),
     )
-    return F.when((F.size(spans) > 0) & _has_marks(text), cut).otherwise(spans)
+    return F.when((F.size(spans) > 0) & _has_marks(text), let(in_blocks(text), own)).otherwise(spans)
 
 
 def not_blank(spans: Column) -> Column:
@@ -115,9 +122,9 @@ def _priority(pii_type: Column) -> Column:
     return rank
 
 
-def _greedy(candidates: Column) -> Column:
-    """Best first (priority, longest, leftmost, detector): keep what overlaps nothing kept."""
-    ranked = F.array_sort(
+def _ranked(candidates: Column) -> Column:
+    """Best first: priority, longest, leftmost, detector."""
+    return F.sort_array(
         F.transform(
             candidates,
             lambda s: F.struct(
@@ -129,8 +136,12 @@ def _greedy(candidates: Column) -> Column:
             ),
         )
     )
+
+
+def _greedy(candidates: Column) -> Column:
+    """Keeps, best first, what overlaps nothing kept; quadratic, for few candidates."""
     kept = F.aggregate(
-        ranked,
+        _ranked(candidates),
         no_spans(),
         lambda acc, r: F.when(F.exists(acc, lambda k: overlap(k, r["span"])), acc).otherwise(
             F.concat(acc, F.array(r["span"]))
@@ -139,24 +150,61 @@ def _greedy(candidates: Column) -> Column:
     return F.array_sort(kept)
 
 
-def resolve(candidates: Column) -> Column:
-    """Non-overlapping spans of one paragraph, by start.
+_EVENT = f"struct<at: int, kind: int, reach: int, detector_rank: int, span: {SPAN}>"
 
-    Candidates are first cut into groups that share no character with one another. The greedy
-    choice, quadratic in its input, then runs on each small group instead of the whole paragraph.
+
+def _free(members: Column, kept: Column) -> Column:
+    """Of ranked candidates of one priority and length, those that are kept beside the disjoint ``kept``.
+
+    One sweep over ends of members and starts of kept spans: how far the spans that begin before
+    a member's end reach says whether one of them overlaps it. Members of one length come in the order in which they choose.
     """
-    settle = lambda group: F.when(F.size(group) < 2, group).otherwise(_greedy(group))
-    empty = F.struct(no_spans().alias("done"), no_spans().alias("group"), F.lit(0).alias("reach"))
-
-    def step(acc: Column, s: Column) -> Column:
-        joins = s["start"] < acc["reach"]
-        return F.struct(
-            F.when(joins, acc["done"]).otherwise(F.concat(acc["done"], settle(acc["group"]))).alias("done"),
-            F.when(joins, F.concat(acc["group"], F.array(s))).otherwise(F.array(s)).alias("group"),
-            F.greatest(acc["reach"], s["end"]).alias("reach"),
+    event = lambda at, kind, reach, rank, s: F.struct(
+        at.alias("at"), F.lit(kind).alias("kind"), reach.alias("reach"), rank.alias("detector_rank"), s.alias("span")
+    ).cast(_EVENT)
+    taken = F.transform(kept, lambda k: event(k["start"], 1, k["end"], F.lit(0), F.lit(None)))
+    asking = F.transform(members, lambda m: event(m["span"]["end"], 0, F.lit(0), m["detector_rank"], m["span"]))
+
+    fits = lambda reach, e: (e["kind"] == 0) & (reach <= e["span"]["start"])
+    step = lambda reach, e: F.greatest(reach, F.when(fits(reach, e), e["at"]).otherwise(e["reach"]))
+    chosen = lambda reach, e: F.when(fits(reach, e), e["span"])
+    return sweep(F.sort_array(F.concat(taken, asking)), F.lit(0), step, chosen, "int", SPAN)
+
+
+def _by_class(candidates: Column) -> Column:
+    """As ``_greedy``, a priority and length at a time: each is one sweep along what is kept so far."""
+
+    def classes(ranked: Column) -> Column:
+        new = lambda i: (i == 0) | ~(
+            (F.get(ranked, i)["priority"] == F.get(ranked, i - 1)["priority"])
+            & (F.get(ranked, i)["shortness"] == F.get(ranked, i - 1)["shortness"])
         )
+        firsts = F.filter(F.sequence(F.lit(0), F.size(ranked) - 1), new)
+        return let(firsts, lambda at: groups_at(ranked, at))
 
-    folded = F.aggregate(
-        F.array_sort(candidates), empty, step, lambda acc: F.concat(acc["done"], settle(acc["group"]))
-    )
-    return F.when(F.size(candidates) < 2, candidates).otherwise(folded)
+    add = lambda kept, members: F.sort_array(F.concat(kept, _free(members, kept)))
+    return F.aggregate(let(_ranked(candidates), classes), no_spans(), add)
+
+
+# Up to this many touching candidates are settled pair by pair; more go class by class. Both keep the same.
+FEW = 16
+
+
+def resolve(candidates: Column, few: int = FEW) -> Column:
+    """Non-overlapping spans of one paragraph, by start.
+
+    Candidates are first cut into groups that share no character with one another.
+    """
+
+    def settle(group: Column) -> Column:
+        size = F.size(group)
+        return F.when(size < 2, group).when(size <= few, _greedy(group)).otherwise(_by_class(group))
+
+    def settled(ordered: Column) -> Column:
+        places = F.transform(ordered, lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["end"].alias("end")))
+        step = lambda reach, p: F.greatest(reach, p["end"])
+        begins = lambda reach, p: F.when(p["start"] >= reach, p["i"])
+        firsts = sweep(places, F.lit(0), step, begins, "int", "int")
+        return F.flatten(F.transform(let(firsts, lambda at: groups_at(ordered, at)), settle))
+
+    return F.when(F.size(candidates) < 2, candidates).otherwise(let(F.sort_array(candidates), settled))

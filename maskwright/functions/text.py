@@ -2,7 +2,6 @@
 
 import sys
 import unicodedata
-from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -10,11 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright import fixed_values as fixed
 from maskwright.functions.dialect import SPACE, SPACE_CHARS, java
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with ``value`` computed once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+from maskwright.functions.sweep import let
 
 
 def strip(text: Column) -> Column:
@@ -25,6 +20,26 @@ def lstrip(text: Column) -> Column:
     return F.ltrim(text, F.lit(SPACE_CHARS))
 
 
+# Code points per block of a long text. ``substring`` walks from the start of its input: from a block it never walks far.
+TEXT_BLOCK = 4096
+
+
+def in_blocks(text: Column) -> Column:
+    """``text`` as an array of stretches of ``TEXT_BLOCK`` code points, for ``cut``."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+    return F.when(F.length(text) <= TEXT_BLOCK, F.array(text)).otherwise(pieces)
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` up to ``end`` of a text in blocks; time does not depend on where they stand."""
+    first = F.floor(start / TEXT_BLOCK).cast("int")
+    last = F.least(F.floor((end - 1) / TEXT_BLOCK).cast("int"), F.size(blocks) - 1)
+    one = F.get(blocks, first)
+    several = F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(blocks, i)), "")
+    holder = F.when(first == last, one).otherwise(several)
+    return F.when((start < end) & (first <= last), F.substring(holder, start - first * TEXT_BLOCK + 1, end - start)).otherwise("")
+
+
 def is_blank(text: Column) -> Column:
     return strip(text) == ""
 

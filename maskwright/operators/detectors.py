@@ -1,6 +1,6 @@
 """The thirteen pattern detectors and their registry.
 
-A detector turns a text column into an array of spans. Its gate is a cheap necessary condition
+A detector marks the matches in a text and turns the marked places into spans. Its gate is a cheap necessary condition
 (a character or word that every match contains): the costly pattern runs only where it holds.
 """
 
@@ -16,19 +16,26 @@ from maskwright.functions import spans as S
 from maskwright.functions import text as X
 from maskwright.functions.dialect import java
 from maskwright.functions.reuse import on
+from maskwright.functions.sweep import let
+
+
+Finish = Callable[[Column, Column], Column]
 
 
 @dataclass(frozen=True)
 class Detector:
+    """``mark`` puts marks around the matches in a text; ``finish(spans, text)`` drops or corrects some."""
+
     name: str
     pii_type: str
     rank: int
     gate: Callable[[Column], Column]
-    find: Callable[[Column], Column]
+    mark: Callable[[Column], Column]
+    finish: Finish = lambda spans, text: spans
     needs_digit: bool = False
 
-    def __call__(self, text: Column) -> Column:
-        return F.when(self.gate(text), S.not_blank(self.find(text))).otherwise(S.no_spans())
+    def spans(self, places: Column, text: Column) -> Column:
+        return S.not_blank(self.finish(S.typed(places, self.pii_type, self.rank), text))
 
 
 def _has(*words: str) -> Callable[[Column], Column]:
@@ -43,66 +50,48 @@ def _has(*words: str) -> Callable[[Column], Column]:
     return gate
 
 
-def _address_after_label(text: Column) -> Column:
-    found = S.where(
-        S.find_after_label(text, fixed.ADDRESS_LABEL, "address", 1),
-        lambda s: X.has_postal(X.strip(s["value"])) | X.has_address_hint(X.strip(s["value"])),
-    )
-
-    def from_first_sign(s: Column) -> Column:
-        value = X.lstrip(s["value"])
-        return S.span(s["end"] - F.length(value), s["end"], s["pii_type"], value, s["detector_rank"])
+def _matches(pattern: str) -> Callable[[Column], Column]:
+    return lambda text: S.marked(text, pattern)
 
-    return F.transform(found, from_first_sign)
 
+def _after(pattern: tuple[str, str]) -> Callable[[Column], Column]:
+    return lambda text: S.marked_after_label(text, pattern)
 
-def _address_line(text: Column) -> Column:
-    return S.where(
-        S.find(text, r"[^\n]+", "address", 2),
-        lambda s: X.has_postal(s["value"]) & X.has_address_hint(s["value"]),
-    )
 
+def _where(keep: Callable[[Column], Column]) -> Finish:
+    """Keeps the spans whose value passes."""
+    return lambda spans, text: S.where(spans, lambda s: keep(s["value"]))
 
-def _card(text: Column) -> Column:
-    return S.where(S.find(text, fixed.CARD, "card", 6), lambda s: X.luhn(s["value"]))
 
+def _address_after_label(spans: Column, text: Column) -> Column:
+    found = S.where(spans, lambda s: X.has_postal(X.strip(s["value"])) | X.has_address_hint(X.strip(s["value"])))
 
-def _phone(text: Column) -> Column:
-    return S.where(
-        S.find(text, fixed.PHONE, "phone", 7),
-        lambda s: (F.length(X.digits(s["value"])) >= 10) & s["value"].rlike(r"[+ (\-]"),
-    )
+    def from_first_sign(s: Column) -> Column:
+        value = X.lstrip(s["value"])
+        return S.span(s["end"] - F.length(value), s["end"], s["pii_type"], value, s["detector_rank"])
 
+    return F.transform(found, from_first_sign)
 
-def _phone_after_label(text: Column) -> Column:
-    return S.where(
-        S.find_after_label(text, fixed.PHONE_LABEL, "phone", 8),
-        lambda s: F.length(X.digits(s["value"])).between(10, 15),
-    )
 
+def _birth_date(spans: Column, text: Column) -> Column:
+    def near_marker(blocks: Column) -> Callable[[Column], Column]:
+        def marked(s: Column) -> Column:
+            first = F.greatest(s["start"] - fixed.BIRTH_BEFORE, F.lit(0))
+            return _has(*fixed.BIRTH_MARKERS)(X.casefold(X.cut(blocks, first, s["end"] + fixed.BIRTH_AFTER)))
 
-def _birth_date(text: Column) -> Column:
-    def near_marker(s: Column) -> Column:
-        first = F.greatest(s["start"] - fixed.BIRTH_BEFORE, F.lit(0))
-        around = X.casefold(F.substring(text, first + 1, s["end"] + fixed.BIRTH_AFTER - first))
-        return _has(*fixed.BIRTH_MARKERS)(around)
+        return marked
 
-    return S.where(S.find(text, fixed.DATE, "dob", 9), near_marker)
+    near = let(X.in_blocks(text), lambda blocks: S.where(spans, near_marker(blocks)))
+    return F.when(F.size(spans) > 0, near).otherwise(spans)
 
 
-def _names_in_contact_list(text: Column) -> Column:
-    lists = S.find_after_label(text, fixed.CONTACT_LIST, "name", 11)
-    return F.flatten(
-        F.transform(lists, lambda s: S.shifted(S.find(s["value"], fixed.PERSON, "name", 11), s["start"]))
-    )
+def _names_in_contact_list(lists: Column, text: Column) -> Column:
+    names = lambda s: S.typed(S.placed(S.marked(s["value"], fixed.PERSON)), "name", 11)
+    return F.flatten(F.transform(lists, lambda s: S.shifted(names(s), s["start"])))
 
 
-def _company(text: Column) -> Column:
-    return S.where(
-        S.find(text, fixed.COMPANY, "company", 13),
-        lambda s: (X.word_count(s["value"]) <= 9)
-        & ~F.startswith(X.casefold(F.substring(X.strip(s["value"]), 1, 5)), F.lit("the ")),
-    )
+def _is_company(value: Column) -> Column:
+    return (X.word_count(value) <= 9) & ~F.startswith(X.casefold(F.substring(X.strip(value), 1, 5)), F.lit("the "))
 
 
 def _like(pattern: str) -> Callable[[Column], Column]:
@@ -122,19 +111,28 @@ def _postal_and_hint(text: Column) -> Column:
 
 
 DETECTORS = (
-    Detector("address_label", "address", 1, _colon, _address_after_label),
-    Detector("address_line", "address", 2, _postal_and_hint, _address_line, True),
-    Detector("email", "email", 3, _has("@"), lambda t: S.find(t, fixed.EMAIL, "email", 3)),
-    Detector("ssn", "ssn", 4, _like(r"\d{3}-\d{2}-"), lambda t: S.find(t, fixed.SSN, "ssn", 4), True),
-    Detector("ip", "ip", 5, _like(r"\d\.\d"), lambda t: S.find(t, fixed.IPV4, "ip", 5), True),
-    Detector("card", "card", 6, _like(r"(?:\d[ -]?){14}"), _card, True),
-    Detector("phone_shape", "phone", 7, _like(r"\d{3}[\s.-]\d{4}"), _phone, True),
-    Detector("phone_label", "phone", 8, _long_number, _phone_after_label, True),
-    Detector("birth_date", "dob", 9, _like(r"(?i)dob|born|birth"), _birth_date, True),
-    Detector("name_label", "name", 10, _colon, lambda t: S.find_after_label(t, fixed.NAME_LABEL, "name", 10)),
-    Detector("contact_list", "name", 11, _colon, _names_in_contact_list),
-    Detector("titled_name", "name", 12, _title, lambda t: S.find(t, fixed.TITLED_NAME, "name", 12)),
-    Detector("company", "company", 13, _legal_form, _company),
+    Detector("address_label", "address", 1, _colon, _after(fixed.ADDRESS_LABEL), _address_after_label),
+    Detector(
+        "address_line", "address", 2, _postal_and_hint, _matches(r"[^\n]+"),
+        _where(lambda v: X.has_postal(v) & X.has_address_hint(v)), True,
+    ),
+    Detector("email", "email", 3, _has("@"), _matches(fixed.EMAIL)),
+    Detector("ssn", "ssn", 4, _like(r"\d{3}-\d{2}-"), _matches(fixed.SSN), needs_digit=True),
+    Detector("ip", "ip", 5, _like(r"\d\.\d"), _matches(fixed.IPV4), needs_digit=True),
+    Detector("card", "card", 6, _like(r"(?:\d[ -]?){14}"), _matches(fixed.CARD), _where(X.luhn), True),
+    Detector(
+        "phone_shape", "phone", 7, _like(r"\d{3}[\s.-]\d{4}"), _matches(fixed.PHONE),
+        _where(lambda v: (F.length(X.digits(v)) >= 10) & v.rlike(r"[+ (\-]")), True,
+    ),
+    Detector(
+        "phone_label", "phone", 8, _long_number, _after(fixed.PHONE_LABEL),
+        _where(lambda v: F.length(X.digits(v)).between(10, 15)), True,
+    ),
+    Detector("birth_date", "dob", 9, _like(r"(?i)dob|born|birth"), _matches(fixed.DATE), _birth_date, True),
+    Detector("name_label", "name", 10, _colon, _after(fixed.NAME_LABEL)),
+    Detector("contact_list", "name", 11, _colon, _after(fixed.CONTACT_LIST), _names_in_contact_list),
+    Detector("titled_name", "name", 12, _title, _matches(fixed.TITLED_NAME)),
+    Detector("company", "company", 13, _legal_form, _matches(fixed.COMPANY), _where(_is_company)),
 )
 
 # Ranks of the finds that come from elsewhere; they break ties after the patterns above.
@@ -150,12 +148,22 @@ def detector(name: str) -> Detector:
 
 
 def run(text: Column, detectors: tuple[Detector, ...] = DETECTORS) -> Column:
-    """All finds of the detectors in a (searchable) text column, unresolved."""
-    plain = [d(text) for d in detectors if not d.needs_digit]
-    numeric = [d(text) for d in detectors if d.needs_digit]
-    if numeric:
-        plain.append(F.when(text.rlike(r"\p{Nd}"), F.concat(*numeric)).otherwise(S.no_spans()))
-    return F.concat(*plain)
+    """All finds of the detectors in a (searchable) text column, unresolved.
+
+    Offsets are computed by one expression for all detectors, over the array of their marked texts.
+    """
+    digit = text.rlike(r"\p{Nd}")
+    open_ = lambda d: digit & d.gate(text) if d.needs_digit else d.gate(text)
+    marks = F.array(*[F.when(open_(d), d.mark(text)) for d in detectors])
+    nothing = F.array().cast(S.PLACES)
+    places = F.transform(marks, lambda m: F.when(F.contains(m, F.lit(S.OPEN)), S.placed(m)).otherwise(nothing))
+
+    def finished(found: Column) -> Column:
+        own = lambda k: F.get(found, F.lit(k))
+        some = [F.when(F.size(own(k)) > 0, d.spans(own(k), text)).otherwise(S.no_spans()) for k, d in enumerate(detectors)]
+        return F.concat(*some)
+
+    return let(places, finished)
 
 
 @cache

@@ -6,21 +6,12 @@ from pyspark.sql import functions as F
 from maskwright import fixed_values as fixed
 from maskwright.functions import spans as S
 from maskwright.functions import text as X
-from maskwright.functions.dialect import java
+from maskwright.functions.dialect import WORD, java
 from maskwright.functions.reuse import on
+from maskwright.operators import inverted
 from maskwright.operators.detectors import DICTIONARY_RANKS, TAUGHT_BY_FINDS, seed_candidates, span_rows
-from maskwright.operators.numbering import chunk_of
-from maskwright.plans.staging import fits_broadcast
-from maskwright.schema import CHUNK
 from maskwright.sources.paragraphs import with_previous
 
-# Documents with up to this many values are matched value by value inside the row; the others
-# go through a join on whole values. Both give the same hits.
-VALUES_IN_ROW = 64
-
-# How many tasks share the paragraphs of one document that hold the same stretch of words.
-STRETCH_SALTS = 16
-
 _TYPED = "array<struct<pii_type: string, value: string>>"
 
 
@@ -88,180 +79,43 @@ def _rank(pii_type: Column) -> Column:
     return rank
 
 
-def largest(dictionary: DataFrame) -> int:
-    """How many values the document with the most values has. Runs a job that returns one number."""
-    return dictionary.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+def _tokens(text: Column) -> Column:
+    """Distinct words of a text, and every three signs in a row.
 
+    A value occurs where no word character touches it, so its words are words of the text there. A value
+    without any word has two words of signs at least: three characters in a row that are no word characters.
+    """
+    words = F.regexp_extract_all(text, F.lit(java(r"\w+")), F.lit(0))
+    signs = F.regexp_extract_all(text, F.lit(f"(?=([^{WORD}]{{3}}))"), F.lit(1))
+    return F.array_distinct(F.concat(words, signs))
 
-def with_dictionary_hits(
-    paragraphs: DataFrame,
-    dictionary: DataFrame,
-    in_row: int = VALUES_IN_ROW,
-    size: int = CHUNK,
-    large_documents: bool = True,
-) -> DataFrame:
-    """Adds ``hits``: the dictionary's values in the paragraphs of their own document.
-
-    Neither way pairs all values of a document with all its paragraphs by a shuffle:
 
-    * A small dictionary travels as one array per document. If the table fits a broadcast, no text
-      is shuffled. Else the array is repeated once per chunk of the document's paragraphs, so that
-      no join key holds more than a chunk.
-    * A value of a large dictionary is matched as a whole: its stretch from first to last word is
-      the join key, met by equally long stretches of the text.
+def _own_tokens(value: Column) -> Column:
+    """A value's words; its signs only if it has none."""
+    own = _tokens(value)
+    words = F.filter(own, lambda t: t.rlike(java(r"\w")))
+    return F.when(F.size(words) > 0, words).otherwise(own)
 
-    ``large_documents=False`` (see ``largest``) leaves the second way out of the plan.
-    """
-    if not large_documents:
-        return _with_small_dictionary(paragraphs, dictionary, size)
-    counts = dictionary.groupBy("doc_id").agg(F.count("*").alias("n"))
-    large_ids = counts.filter(F.col("n") > in_row).select("doc_id")
-    # Values without any word have no stretch to join on; they stay with the first way.
-    wordless = ~F.col("value").rlike(java(r"\w"))
-    large = dictionary.filter(~wordless).join(large_ids, "doc_id", "left_semi")
-    small = dictionary.join(large_ids.withColumn("_large", F.lit(True)), "doc_id", "left")
-    small = small.filter(F.col("_large").isNull() | wordless).drop("_large")
-    # Only documents of the second kind are shuffled for it.
-    rest = paragraphs.join(large_ids, "doc_id", "left_anti")
-    big = paragraphs.join(large_ids, "doc_id", "left_semi")
-    matched = _with_large_dictionary(_with_small_dictionary(big, small, size), large)
-    return _with_small_dictionary(rest, small, size).unionByName(matched)
 
+def with_dictionary_hits(paragraphs: DataFrame, dictionary: DataFrame, hint: str | None = None) -> DataFrame:
+    """Adds ``hits``: the dictionary's values in the paragraphs of their own document.
 
-def _with_small_dictionary(paragraphs: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
-    needle = S.searchable(F.col("value")).alias("needle")
-    word = F.struct("pii_type", needle, _rank(F.col("pii_type")).alias("detector_rank"))
-    arrays = dictionary.groupBy("doc_id").agg(F.collect_list(word).alias("_values"))
-    if fits_broadcast(dictionary):
-        rows = paragraphs.join(F.broadcast(arrays), "doc_id", "left")
-    else:
-        chunk = chunk_of(F.col("para_idx"), size)
-        last = paragraphs.groupBy("doc_id").agg(chunk_of(F.max("para_idx"), size).alias("_last"))
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_chunk")
-        arrays = last.join(arrays, "doc_id").select("doc_id", every, "_values")
-        rows = paragraphs.withColumn("_chunk", chunk).join(arrays, ["doc_id", "_chunk"], "left").drop("_chunk")
-    found = F.coalesce(on(_hits_of_values, "_text", "_values"), S.no_spans())
-    rows = rows.withColumn("_text", on(S.searchable, "text")).withColumn("hits", found)
-    rows = rows.withColumn("hits", on(S.with_original_values, "hits", "text"))
-    return rows.drop("_text", "_values")
+    Values and paragraphs meet in an inverted index under a value's rarest token; there the value is searched in the text.
+    """
+    wanted = inverted.anchored(dictionary.select("doc_id", "pii_type", "value"), _own_tokens(F.col("value")))
+    value = F.struct("pii_type", "value", _rank(F.col("pii_type")).alias("detector_rank"))
+    rows = paragraphs.join(inverted.met(paragraphs, "text", _tokens, wanted, value, hint), ["doc_id", "para_idx"], "left")
+    found = F.coalesce(on(_hits_of_values, "text", "_values"), S.no_spans())
+    return rows.withColumn("hits", found).drop("_values")
 
 
 def _hits_of_values(text: Column, values: Column) -> Column:
-    occurring = F.filter(values, lambda v: F.contains(text, v["needle"]))
+    occurring = F.filter(values, lambda v: F.contains(text, v["value"]))
     return F.flatten(
-        F.transform(occurring, lambda v: S.find_literal(text, v["needle"], v["pii_type"], v["detector_rank"]))
+        F.transform(occurring, lambda v: S.find_literal(text, v["value"], v["pii_type"], v["detector_rank"]))
     )
 
 
-def _with_large_dictionary(paragraphs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    matches = _whole_value_matches(paragraphs, dictionary)
-    # Groups are the matches inside one paragraph.
-    hits = matches.groupBy("doc_id", "para_idx").agg(F.collect_list("match").alias("_matches"))
-    rows = paragraphs.join(hits, ["doc_id", "para_idx"], "left")
-    found = F.coalesce(_leftmost_of_each_value(F.col("_matches")), S.no_spans())
-    rows = rows.withColumn("hits", F.concat("hits", found)).drop("_matches")
-    return rows.withColumn("hits", on(S.with_original_values, "hits", "text"))
-
-
-def _words_and_gaps(text: Column) -> Column:
-    """``[gap, word, gap, word, …, gap]``; gaps may be empty."""
-    marked = F.regexp_replace(S.searchable(text), java(r"\w+"), f"{S.OPEN}$0{S.OPEN}")
-    return F.split(marked, S.OPEN, -1)
-
-
-def _whole_value_matches(paragraphs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    pieces = F.col("_pieces")
-    values = (
-        dictionary.withColumn("_pieces", _words_and_gaps(F.col("value")))
-        .withColumn("words", F.floor(F.size("_pieces") / 2).cast("int"))
-        .select(
-            "doc_id", "pii_type", "words",
-            F.element_at(pieces, 1).alias("lead"),
-            F.element_at(pieces, -1).alias("trail"),
-            F.array_join(F.slice(pieces, 2, F.size(pieces) - 2), "").alias("stretch"),
-        )
-    )
-    # How many words values have: at most as many numbers as the longest value has words.
-    lengths = values.groupBy("doc_id").agg(F.collect_set("words").alias("_lengths"))
-    starts = F.aggregate(
-        pieces,
-        F.array(F.lit(0)),
-        lambda acc, piece: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(piece))),
-    )
-    n_words = F.floor(F.size(pieces) / 2).cast("int")
-    stretches = F.flatten(
-        F.transform(
-            F.filter("_lengths", lambda k: k <= n_words),
-            lambda k: F.transform(
-                F.sequence(F.lit(0), n_words - k),
-                lambda i: F.struct(
-                    F.get("_starts", 2 * i + 1).alias("start"),
-                    F.array_join(F.slice(pieces, 2 * i + 2, 2 * k - 1), "").alias("stretch"),
-                    F.get(pieces, 2 * i).alias("before"),
-                    F.get(pieces, 2 * (i + k)).alias("after"),
-                    (i == 0).alias("first"),
-                    (i + k == n_words).alias("last"),
-                ),
-            ),
-        )
-    )
-    texts = (
-        paragraphs.select("doc_id", "para_idx", "text")
-        .join(lengths, "doc_id")
-        .withColumn("_pieces", _words_and_gaps(F.col("text")))
-        .withColumn("_starts", starts)
-        .select("doc_id", "para_idx", F.inline_outer(stretches))
-        .filter(F.col("stretch").isNotNull())
-        .withColumn("_salt", F.pmod("para_idx", F.lit(STRETCH_SALTS)))
-    )
-    salted = values.drop("words").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(STRETCH_SALTS - 1)))
-    )
-    # A lead or trail of signs must end at the gap's far side only if no word stands there.
-    fits_before = F.col("before").endswith(F.col("lead")) & (
-        (F.col("lead") == "") | (F.length("before") > F.length("lead")) | F.col("first")
-    )
-    fits_after = F.col("after").startswith(F.col("trail")) & (
-        (F.col("trail") == "") | (F.length("after") > F.length("trail")) | F.col("last")
-    )
-    value = F.concat("lead", "stretch", "trail")
-    start = F.col("start") - F.length("lead")
-    match = S.span(start, start + F.length(value), F.col("pii_type"), value, _rank(F.col("pii_type")))
-    return (
-        texts.join(salted, ["doc_id", "stretch", "_salt"])
-        .filter(fits_before & fits_after)
-        .select("doc_id", "para_idx", match.alias("match"))
-    )
-
-
-def _leftmost_of_each_value(matches: Column) -> Column:
-    """Drops a match that overlaps the previous kept match of the same value."""
-    by_value = F.array_sort(
-        F.transform(
-            matches,
-            lambda m: F.struct(
-                m["pii_type"].alias("pii_type"), m["value"].alias("value"), m["start"].alias("start"), m.alias("span")
-            ),
-        )
-    )
-    empty = F.struct(
-        S.no_spans().alias("kept"), F.lit("").alias("pii_type"), F.lit("").alias("value"), F.lit(0).alias("end")
-    )
-
-    def step(acc: Column, m: Column) -> Column:
-        drop = (acc["pii_type"] == m["pii_type"]) & (acc["value"] == m["value"]) & (m["start"] < acc["end"])
-        return F.when(drop, acc).otherwise(
-            F.struct(
-                F.concat(acc["kept"], F.array(m["span"])).alias("kept"),
-                m["pii_type"].alias("pii_type"),
-                m["value"].alias("value"),
-                m["span"]["end"].alias("end"),
-            )
-        )
-
-    return F.aggregate(by_value, empty, step, lambda acc: acc["kept"])
-
-
-def dictionary_hits(paragraphs: DataFrame, dictionary: DataFrame, **options: int) -> DataFrame:
+def dictionary_hits(paragraphs: DataFrame, dictionary: DataFrame, hint: str | None = None) -> DataFrame:
     """One row per occurrence of a dictionary value."""
-    return span_rows(with_dictionary_hits(paragraphs, dictionary, **options), "hits")
+    return span_rows(with_dictionary_hits(paragraphs, dictionary, hint), "hits")

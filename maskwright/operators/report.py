@@ -18,8 +18,8 @@ def changed_paragraphs(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.groupBy("doc_id").agg(F.count_if(F.size("spans") > 0).alias("changed_paragraphs"))
 
 
-def summary(paragraphs: DataFrame, occurring: DataFrame, mode: str) -> DataFrame:
-    """One row per document, documents without finds included."""
+def summary(paragraphs: DataFrame, occurring: DataFrame, mode: str, ner_model: str | None = None) -> DataFrame:
+    """One row per document, documents without finds included. ``ner_model`` names what made the annotations, if any."""
     counts = (
         occurring.groupBy("doc_id", "pii_type")
         .agg(F.sum("n").alias("n"), F.count_distinct("norm_value").alias("keys"))
@@ -36,6 +36,7 @@ def summary(paragraphs: DataFrame, occurring: DataFrame, mode: str) -> DataFrame
     return changed_paragraphs(paragraphs).join(counts, "doc_id", "left").select(
         "doc_id",
         F.lit(check_mode(mode)).alias("mode"),
+        F.lit(ner_model).cast("string").alias("ner_model"),
         "changed_paragraphs",
         F.coalesce("redactions", F.create_map().cast("map<string, bigint>")).alias("redactions"),
         F.coalesce("unique_replacements", zero).alias("unique_replacements"),

@@ -1,9 +1,11 @@
 """Texts with their spans replaced."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.reuse import on
+from maskwright.functions.sweep import let, sweep
+from maskwright.functions.text import cut, in_blocks
 from maskwright.operators.pseudonym import KEY, keyed
 from maskwright.schema import CHUNK
 
@@ -29,13 +31,13 @@ def spliced(text: Column, replaced: Column) -> Column:
             r["fake"].alias("fake"),
         ),
     )
-    kept = F.transform(
-        pieces,
-        lambda p: F.concat(F.substring(text, p["from"] + 1, p["to"] - p["from"]), p["fake"]),
-    )
     tail_from = F.element_at(replaced, -1)["end"]
-    tail = F.substring(text, tail_from + 1, F.length(text))
-    return F.concat(F.array_join(kept, ""), tail)
+
+    def joined(blocks: Column) -> Column:
+        kept = F.transform(pieces, lambda p: F.concat(cut(blocks, p["from"], p["to"]), p["fake"]))
+        return F.concat(F.array_join(kept, ""), cut(blocks, tail_from, F.length(text)))
+
+    return let(in_blocks(text), joined)
 
 
 def rewrite(paragraphs: DataFrame, looked_up: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -48,7 +50,7 @@ def rewrite(paragraphs: DataFrame, looked_up: DataFrame, size: int = CHUNK) -> D
         .groupBy("doc_id", "para_idx")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "fake"))).alias("_replaced"))
     )
-    columns = ["doc_id", "para_idx", "story"]
+    columns = ["doc_id", "para_idx", "story", *[c for c in ("source",) if c in paragraphs.columns]]
     rewritten = changed.join(fakes, ["doc_id", "para_idx"]).select(
         *columns, on(spliced, "text", "_replaced").alias("redacted"), F.lit(True).alias("changed")
     )
@@ -64,50 +66,72 @@ def only_styled(paragraphs: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.withColumn("spans", F.when(F.col("_styled"), F.col("spans")).otherwise(none)).drop("_styled")
 
 
+_PIECE = "struct<text: string, style: string>"
+_EVENT = "struct<at: int, kind: int, style: string, fake: string>"
+_PLACE = "struct<at: int, styled: boolean, style: string, kept: boolean>"
+_FOUND = f"struct<pieces: array<{_PIECE}>>"
+_RUN_END, _RUN_START, _SPAN_END, _SPAN_START = range(4)  # in this order at one place
+
+
+def _styled(text: Column, replaced: Column, runs: Column) -> Column:
+    """One walk along the bounds of runs ``(start, end, run_idx, style)`` and spans ``(start, end, fake)``, both in order and disjoint.
+
+    The state is the last bound, the run there, and whether text there is kept. A bound ends the piece before it; the
+    start of a span also brings the replacement, in the style of the run it stands in.
+    """
+    event = lambda at, kind, style, fake: F.struct(
+        at.alias("at"), F.lit(kind).alias("kind"), style.alias("style"), fake.alias("fake")
+    ).cast(_EVENT)
+    none = F.lit(None).cast("string")
+    events = F.sort_array(
+        F.concat(
+            F.flatten(F.transform(runs, lambda r: F.array(event(r["start"], _RUN_START, r["style"], none), event(r["end"], _RUN_END, none, none)))),
+            F.flatten(F.transform(replaced, lambda s: F.array(event(s["start"], _SPAN_START, none, s["fake"]), event(s["end"], _SPAN_END, none, none)))),
+        )
+    )
+    first = F.array_min(F.transform(runs, lambda r: F.struct(r["run_idx"].alias("run_idx"), r["style"].alias("style"))))["style"]
+
+    def walked(blocks: Column) -> Column:
+        def step(p: Column, e: Column) -> Column:
+            starts = e["kind"] == _RUN_START
+            return F.struct(
+                e["at"].alias("at"),
+                F.when(e["kind"] == _RUN_END, False).otherwise(starts | p["styled"]).alias("styled"),
+                F.when(starts, e["style"]).otherwise(p["style"]).alias("style"),
+                F.when(e["kind"] == _SPAN_START, False).otherwise((e["kind"] == _SPAN_END) | p["kept"]).alias("kept"),
+            )
+
+        def found(p: Column, e: Column) -> Column:
+            piece = lambda text, style: F.array(F.struct(text.alias("text"), style.alias("style")).cast(_PIECE))
+            nothing = F.array().cast(f"array<{_PIECE}>")
+            before = F.when(p["styled"] & p["kept"] & (p["at"] < e["at"]), piece(cut(blocks, p["at"], e["at"]), p["style"])).otherwise(nothing)
+            style = F.when(p["styled"], p["style"]).otherwise(first)
+            return F.struct(F.concat(before, F.when(e["fake"].isNotNull(), piece(e["fake"], style)).otherwise(nothing)).alias("pieces"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("styled"), none.alias("style"), F.lit(True).alias("kept"))
+        pieces = F.flatten(F.transform(sweep(events, begin, step, found, _PLACE, _FOUND), lambda f: f["pieces"]))
+        return F.filter(pieces, lambda p: p["text"] != "")
+
+    return let(in_blocks(text), walked)
+
+
 def run_pieces(
     paragraphs: DataFrame, runs: DataFrame, looked_up: DataFrame, size: int = CHUNK
 ) -> DataFrame:
     """Rewritten paragraphs as styled pieces ``(doc_id, para_idx, piece_idx, text, style)``.
 
-    Text between spans keeps the runs it stood in; a replacement takes the style of the run in
+    Text between spans keeps the runs it stood in, which do not overlap; a replacement takes the style of the run in
     which its span starts, or of the first run. Only changed paragraphs have pieces.
     """
-    changed = paragraphs.filter(F.size("spans") > 0)
-    fakes = replacements(_span_rows(changed), looked_up, size).select("doc_id", "para_idx", "start", "end", "fake")
-    inside = Window.partitionBy("doc_id", "para_idx").orderBy("start")
-    placed = fakes.withColumn("_from", F.lag("end", 1, 0).over(inside))
-    tails = fakes.groupBy("doc_id", "para_idx").agg(F.max("end").alias("start"))
-    gaps = placed.select("doc_id", "para_idx", F.col("_from").alias("left"), F.col("start").alias("right")).unionByName(
-        tails.select(
-            "doc_id", "para_idx", F.col("start").alias("left"), F.lit(None).cast("int").alias("right")
-        )
-    )
-    runs = runs.withColumnsRenamed({"start": "run_start", "end": "run_end"})
     key = ["doc_id", "para_idx"]
-    kept = (
-        gaps.join(runs, key)
-        .withColumn("left", F.greatest("left", "run_start"))
-        .withColumn("right", F.least(F.col("right"), F.col("run_end")))
-        .filter(F.col("left") < F.col("right"))
-        .join(changed.select(*key, F.col("text").alias("_text")), key)
-        .select(
-            *key,
-            F.col("left").alias("at"),
-            F.lit(0).alias("order"),
-            F.substring("_text", F.col("left") + 1, F.col("right") - F.col("left")).alias("text"),
-            "style",
-        )
-    )
-    under = (F.col("run_start") <= F.col("start")) & (F.col("start") < F.col("run_end"))
-    first_choice = F.struct((~under).alias("elsewhere"), "run_idx", "style")
-    replaced = (
-        fakes.join(runs, key)
-        .groupBy(*key, "start", "fake")
-        .agg(F.min(first_choice)["style"].alias("style"))
-        .select(*key, F.col("start").alias("at"), F.lit(1).alias("order"), F.col("fake").alias("text"), "style")
-    )
-    numbered = Window.partitionBy(*key).orderBy("at", "order")
-    pieces = kept.unionByName(replaced).filter(F.col("text") != "")
-    return pieces.withColumn("piece_idx", F.row_number().over(numbered) - 1).select(
-        *key, "piece_idx", "text", "style"
+    changed = paragraphs.filter(F.size("spans") > 0)
+    # Groups are the spans and the runs of one paragraph.
+    fakes = (
+        replacements(_span_rows(changed), looked_up, size)
+        .groupBy(*key)
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "fake"))).alias("_replaced"))
     )
+    styles = runs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "run_idx", "style"))).alias("_runs"))
+    rows = changed.join(fakes, key).join(styles, key)
+    pieces = F.posexplode(on(_styled, "text", "_replaced", "_runs")).alias("piece_idx", "piece")
+    return rows.select(*key, pieces).select(*key, "piece_idx", "piece.text", "piece.style")

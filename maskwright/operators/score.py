@@ -3,11 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.operators.numbering import chunk_of
-from maskwright.schema import CHUNK, PII_TYPES
-
-# Values per block of the leak check.
-BLOCK = 256
+from maskwright.operators import inverted
+from maskwright.schema import PII_TYPES
 
 
 def _found(mode: str) -> Column:
@@ -76,30 +73,32 @@ def per_type(cases: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def occurring(redacted: DataFrame, expected: DataFrame, size: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """The ``expected(doc_id, value)`` that stand anywhere in the redacted text of their document.
+def _grams(text: Column) -> Column:
+    """The distinct stretches of one, two and three characters of a text."""
+    of = lambda n: F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+def _own_grams(value: Column) -> Column:
+    """The longest stretches a value has."""
+    longest = F.least(F.length(value), F.lit(3))
+    return F.filter(_grams(value), lambda g: F.length(g) == longest)
+
 
-    A document's values meet its paragraphs as arrays of bounded blocks, once per chunk of
-    paragraphs: only hits become rows, and no task receives a whole document.
+def occurring(redacted: DataFrame, expected: DataFrame) -> DataFrame:
+    """The ``expected(doc_id, value)`` that stand anywhere in the redacted text of their document, also inside a word.
+
+    Values and paragraphs meet in an inverted index under the value's rarest three characters.
     """
-    values = expected.select("doc_id", "value").distinct()
-    blocks = values.join(
-        values.groupBy("doc_id").agg(F.ceil(F.count("*") / block).alias("_blocks")), "doc_id"
-    ).groupBy("doc_id", F.pmod(F.xxhash64("value"), "_blocks").alias("_block")).agg(
-        F.collect_list("value").alias("_values")
-    )
-    last = redacted.groupBy("doc_id").agg(chunk_of(F.max("para_idx"), size).alias("_last"))
-    spread = blocks.join(last, "doc_id").withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last"))
-    )
-    rows = redacted.select("doc_id", chunk_of(F.col("para_idx"), size).alias("_chunk"), "redacted")
+    values = expected.select("doc_id", "value").filter(F.col("value") != "").distinct()
+    wanted = inverted.anchored(values, _own_grams(F.col("value")))
+    met = inverted.met(redacted, "redacted", _grams, wanted, F.col("value"))
+    rows = redacted.select("doc_id", "para_idx", "redacted").join(met, ["doc_id", "para_idx"])
     hits = F.filter("_values", lambda v: F.contains(F.col("redacted"), v))
-    return (
-        rows.join(spread, ["doc_id", "_chunk"])
-        .select("doc_id", F.explode_outer(hits).alias("value"))
-        .filter(F.col("value").isNotNull())
-        .distinct()
-    )
+    found = rows.select("doc_id", F.explode_outer(hits).alias("value")).filter(F.col("value").isNotNull())
+    # An empty value stands in every text.
+    nothing = expected.filter(F.col("value") == "").select("doc_id", "value").join(redacted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return found.unionByName(nothing).distinct()
 
 
 def leaks(redacted: DataFrame, gone: DataFrame, kept: DataFrame) -> DataFrame:
@@ -110,19 +109,23 @@ def leaks(redacted: DataFrame, gone: DataFrame, kept: DataFrame) -> DataFrame:
     return remaining.unionByName(missing.withColumn("problem", F.lit("missing")))
 
 
-def coverage(spans: DataFrame, required: tuple[str, ...] = PII_TYPES) -> DataFrame:
-    """Per document, the required types not found in it."""
+def coverage(spans: DataFrame, documents: DataFrame, required: tuple[str, ...] = PII_TYPES) -> DataFrame:
+    """Per document of ``documents(doc_id)``, the required types not found in it; all of them where nothing was found."""
     types = F.array(*[F.lit(t) for t in required])
-    lacking = F.array_sort(F.array_except(types, F.collect_set("pii_type")))
-    rows = spans.groupBy("doc_id").agg(lacking.alias("lacking"))
+    # At most nine types per document.
+    found = spans.groupBy("doc_id").agg(F.collect_set("pii_type").alias("found"))
+    rows = documents.select("doc_id").distinct().join(found, "doc_id", "left")
+    lacking = F.array_sort(F.array_except(types, F.coalesce("found", F.array().cast("array<string>"))))
+    rows = rows.select("doc_id", lacking.alias("lacking"))
     return rows.select(
         "doc_id", F.array_join("lacking", ",").alias("lacking"), (F.size("lacking") == 0).alias("complete")
     )
 
 
-def mode_delta(spans: DataFrame) -> DataFrame:
-    """Per document, redactions by mode and what hybrid adds; ``spans`` holds ``(mode, doc_id)``."""
+def mode_delta(spans: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per document of ``documents(doc_id)``, redactions by mode and what hybrid adds; ``spans`` holds ``(mode, doc_id)``."""
     counts = spans.groupBy("doc_id").agg(
         F.count_if(F.col("mode") == "rules").alias("rules"), F.count_if(F.col("mode") == "hybrid").alias("hybrid")
     )
-    return counts.withColumn("added", F.col("hybrid") - F.col("rules"))
+    rows = documents.select("doc_id").distinct().join(counts, "doc_id", "left").fillna(0, ["rules", "hybrid"])
+    return rows.withColumn("added", F.col("hybrid") - F.col("rules"))

@@ -25,15 +25,16 @@ class Result:
     workspace: Workspace
 
 
-def resolved(paragraphs: DataFrame, dictionary: DataFrame | None = None, **options) -> DataFrame:
+def resolved(paragraphs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Adds ``spans``: the finds of patterns, annotations and dictionary, overlaps resolved."""
     rows = paragraphs.drop("prev_text")
     if dictionary is not None:
-        rows = D.with_dictionary_hits(rows, dictionary, **options)
+        rows = D.with_dictionary_hits(rows, dictionary)
     rows = candidates(rows)
     found = F.concat("candidates", "hits") if dictionary is not None else F.col("candidates")
     return rows.withColumn("candidates", found).select(
-        "doc_id", "para_idx", "story", "text", on(S.resolve, "candidates").alias("spans")
+        "doc_id", "para_idx", "story", "text", *[c for c in ("source",) if c in paragraphs.columns],
+        on(S.resolve, "candidates").alias("spans"),
     )
 
 
@@ -43,13 +44,13 @@ def redact(
     entities: DataFrame | None = None,
     runs: DataFrame | None = None,
     workspace: Workspace | None = None,
+    ner_model: str | None = None,
 ) -> Result:
     """Redacts paragraphs document by document.
 
     Two passes read the input: the first learns the dictionary, the second finds and resolves.
     The dictionary, the resolved paragraphs and the keys' occurrences are written as tables;
-    everything returned is computed from those. Text is shuffled only where a paragraph changes
-    (or where the dictionary is too large to broadcast).
+    everything returned is computed from those.
     """
     workspace = workspace or Workspace(paragraphs.sparkSession)
     if check_mode(mode) == "hybrid":
@@ -60,9 +61,7 @@ def redact(
         paragraphs = workspace.stage(annotated, "annotated")
 
     dictionary = workspace.stage(D.learn(paragraphs), "dictionary")
-    most = D.largest(dictionary)
-    known = {"dictionary": dictionary, "large_documents": most > D.VALUES_IN_ROW} if most else {}
-    found = resolved(paragraphs, **known)
+    found = resolved(paragraphs, dictionary)
     if runs is not None:
         found = rewrite.only_styled(found, runs)
     found = workspace.stage(found, "paragraphs")
@@ -73,7 +72,7 @@ def redact(
     return Result(
         redacted=rewrite.rewrite(found, looked_up),
         mapping=pseudonym.mapping(looked_up),
-        summary=report.summary(found, occurring, mode),
+        summary=report.summary(found, occurring, mode, ner_model if mode == "hybrid" else None),
         spans=span_rows,
         pieces=None if runs is None else rewrite.run_pieces(found, runs, looked_up),
         workspace=workspace,

@@ -24,21 +24,21 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if input_bytes(docs) < cores * int(split) else docs
 
 
-def from_documents(docs: DataFrame) -> DataFrame:
-    """One paragraph per line of ``text``, blank ones kept.
+def from_documents(docs: DataFrame, *carried: str) -> DataFrame:
+    """One paragraph per line of ``text``, blank ones kept. ``carried`` columns (a ``source``, say) go along.
 
     The preceding line rides along as ``prev_text``: learning from label/value neighbours then
     needs neither a window nor a join.
     """
-    lines = spread(docs.select("doc_id", "text")).select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    lines = spread(docs.select("doc_id", *carried, "text")).select("doc_id", *carried, F.split("text", "\n", -1).alias("lines"))
     with_previous = F.transform(
         "lines",
         lambda line, i: F.struct(
             line.alias("text"), F.when(i > 0, F.get("lines", i - 1)).alias("prev_text")
         ),
     )
-    return lines.select("doc_id", F.posexplode(with_previous).alias("para_idx", "line")).select(
-        "doc_id", "para_idx", F.lit("body").alias("story"), "line.text", "line.prev_text"
+    return lines.select("doc_id", *carried, F.posexplode(with_previous).alias("para_idx", "line")).select(
+        "doc_id", "para_idx", *carried, F.lit("body").alias("story"), "line.text", "line.prev_text"
     )
 
 
@@ -103,15 +103,14 @@ def with_previous(paragraphs: DataFrame) -> DataFrame:
 def preview(paragraphs: DataFrame, k: int) -> DataFrame:
     """The first ``k`` non-blank lines of each document, trimmed, with the document's total.
 
-    ``row_number() <= k`` lets Spark keep at most ``k`` rows per document and map task before
-    the shuffle, so a huge document sends few rows to its task.
+    A document without such lines has one row, with no line and a total of 0. ``row_number() <= k`` lets Spark keep at
+    most ``k`` rows per document and map task before the shuffle, so a huge document sends few rows to its task.
     """
-    lines = paragraphs.select("doc_id", "para_idx", strip(F.col("text")).alias("line")).filter(
-        ~is_blank(F.col("line"))
-    )
+    lines = paragraphs.select("doc_id", "para_idx", strip(F.col("text")).alias("line"))
+    filled = F.coalesce(~is_blank(F.col("line")), F.lit(False))
     first = Window.partitionBy("doc_id").orderBy("para_idx")
-    top = lines.withColumn("line_no", F.row_number().over(first)).filter(F.col("line_no") <= k)
-    totals = lines.groupBy("doc_id").agg(F.count("*").alias("total_lines"))
-    return top.join(totals, "doc_id").select(
+    top = lines.filter(filled).withColumn("line_no", F.row_number().over(first)).filter(F.col("line_no") <= k)
+    totals = lines.groupBy("doc_id").agg(F.count_if(filled).alias("total_lines"))
+    return totals.join(top, "doc_id", "left").select(
         "doc_id", "line_no", "line", "total_lines", (F.col("total_lines") > k).alias("truncated")
     )

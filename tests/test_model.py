@@ -50,7 +50,7 @@ def test_dictionary(docs, paragraphs):
         assert ours.get(d, set()) == model.learn(lines)
 
 
-@pytest.mark.parametrize("options", [{"in_row": 64}, {"in_row": 0}, {"in_row": 8, "size": 4}])
+@pytest.mark.parametrize("options", [{}, {"hint": "merge"}, {"hint": "broadcast"}])
 def test_dictionary_hits(docs, paragraphs, options):
     words = Workspace(paragraphs.sparkSession).stage(dictionary.learn(paragraphs), "dictionary")
     ours = as_sets(dictionary.dictionary_hits(paragraphs, words, **options).collect())
