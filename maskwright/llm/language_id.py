@@ -2,8 +2,8 @@
 
 Each language is a smoothed distribution over hashed letter trigrams, counted on all documents with a
 label. A text's trigrams are taken to come from a mixture of languages. Expectation-maximisation
-estimates the proportions, first over all languages, then over the best one, two and three; the set
-with the highest likelihood less a penalty per language is selected, and its largest share names
+estimates the proportions, first over all languages, then over the best one, two and so on, for as long as
+the next language raises the likelihood less a penalty per language; the largest share of the set so chosen names
 the text's language.
 """
 
@@ -21,7 +21,6 @@ from maskwright.llm import common as C
 BUCKETS = 1 << 16  # the model has a number per language and bucket, so its size is known
 SMOOTHING = 0.1
 ROUNDS = 12
-SET_SIZES = 3
 PENALTY = 3.0  # per language, times the logarithm of the number of trigrams
 CELLS = 1 << 22  # trigrams times languages handled at once
 UNKNOWN = "und"
@@ -127,13 +126,21 @@ def infer(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[
         part, _ = _em(model.share[own], weight, start, of)
         order = np.argsort(-part, axis=1, kind="stable")
         penalty = PENALTY * np.log(np.add.reduceat(weight, start) + 1)
-        value, size, shares = np.full(len(group), -np.inf), np.zeros(len(group), np.int64), np.zeros((len(group), SET_SIZES))
-        for k in range(1, min(SET_SIZES, len(names)) + 1):
-            within, likelihood = _em(model.share[own[:, None], order[of, :k]], weight, start, of)
-            better = likelihood - k * penalty > value
-            value[better], size[better] = (likelihood - k * penalty)[better], k
-            shares[better] = 0
-            shares[better, :k] = within[better]
+        value, size, shares = np.full(len(group), -np.inf), np.zeros(len(group), np.int64), np.zeros((len(group), len(names)))
+        growing = np.arange(len(group))  # texts whose last language raised the penalised likelihood
+        for k in range(1, len(names) + 1):
+            mine = np.isin(of, growing)
+            there = of[mine]
+            first = np.flatnonzero(np.diff(there, prepend=-1))
+            within, likelihood = _em(model.share[own[mine][:, None], order[there, :k]], weight[mine], first, np.searchsorted(growing, there))
+            gain = likelihood - k * penalty[growing]
+            better = gain > value[growing]
+            growing, within = growing[better], within[better]
+            if not len(growing):
+                break
+            value[growing], size[growing] = gain[better], k
+            shares[growing] = 0
+            shares[growing, :k] = within
         top = shares.argmax(axis=1)
         for i, at in enumerate(ids[group].tolist()):
             best[at] = names[order[i, top[i]]]

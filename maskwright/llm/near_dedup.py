@@ -129,11 +129,15 @@ def sketched(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, text binary, n bigint, bits array<bigint>")
 
 
+def comparable(n: Column, o_n: Column, percent: int) -> Column:
+    """Whether the sets' sizes allow the similarity."""
+    return 100 * F.least(n, o_n) >= percent * F.greatest(n, o_n)
+
+
 def possible(n: Column, bits: Column, o_n: Column, o_bits: Column, percent: int) -> Column:
     """Whether the sketches allow the similarity: linked sets differ in at most (100 - p) / (100 + p) of their sizes' sum."""
     differing = sum((F.bit_count(bits[i].bitwiseXOR(o_bits[i])) for i in range(1, LANES)), F.bit_count(bits[0].bitwiseXOR(o_bits[0])))
-    sizes = 100 * F.least(n, o_n) >= percent * F.greatest(n, o_n)
-    return sizes & (differing * (100 + percent) <= (n + o_n) * (100 - percent))
+    return comparable(n, o_n, percent) & (differing * (100 + percent) <= (n + o_n) * (100 - percent))
 
 
 def confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -163,16 +167,17 @@ def agreeing(a: Column, b: Column) -> Column:
 
 
 def prefixes(reps: DataFrame, count: int, matches: int) -> DataFrame:
-    """(node, prefix, weight): the rarest coordinate-value pairs of each representative, of which any partner
+    """(node, n, prefix, weight): the set's size, the rarest coordinate-value pairs of each representative, of which any partner
     shares one; weight is how often all of its pairs occur, so it is large in the middle of a group."""
-    posted = reps.select("node", F.posexplode("sig").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node")
-    frequent = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = posted.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    posted = reps.select("node", "n", F.posexplode("sig").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node", "n")
+    frequent = posted.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+    shared = posted.join(frequent, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("keys"))
     # Coordinates that no other document has are the rarest: they use up the prefix first.
     return shared.filter(F.size("keys") >= matches).select(
         "node",
+        "n",
         F.slice("keys.key", F.lit(1), F.size("keys") - (matches - 1)).alias("prefix"),
-        F.aggregate("keys.n", F.lit(0).cast("bigint"), lambda total, n: total + n).alias("weight"),
+        F.aggregate("keys.count", F.lit(0).cast("bigint"), lambda total, n: total + n).alias("weight"),
     )
 
 
@@ -222,8 +227,10 @@ class _Links:
 
     def found(self, pairs: DataFrame) -> DataFrame:
         near = possible(F.col("n_u"), F.col("bits_u"), F.col("n_v"), F.col("bits_v"), self.percent)
-        met = self._joined(C.staged(pairs), self.profiles, "n", "bits", "sig", last=near)
-        likely = C.staged(met.filter(agreeing(F.col("sig_u"), F.col("sig_v")) >= self.matches).select("u", "v").distinct())
+        # Sketches first: few pairs are left to meet their signatures, which are four times as long.
+        met = C.staged(self._joined(C.staged(pairs), self.profiles, "n", "bits", last=near).select("u", "v").distinct())
+        agree = agreeing(F.col("sig_u"), F.col("sig_v")) >= self.matches
+        likely = C.staged(self._joined(met, self.profiles, "sig").filter(agree).select("u", "v"))
         return C.checkpointed(confirmed(self._joined(likely, self.texts, "text"), self.percent, self.width).distinct())
 
 
@@ -234,10 +241,10 @@ def _open(posted: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(several, "key")
 
 
-def _with_hubs(posted: DataFrame) -> DataFrame:
-    """Pairs (u, v) of each posting's hub, its node with the largest weight, and its other nodes."""
-    hubs = posted.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    met = posted.join(hubs, "key").filter("node <> hub.node")
+def _with_hubs(posted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of each posting's hub, its node with the largest weight, and its other nodes of comparable size."""
+    hubs = posted.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
+    met = posted.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & comparable(F.col("n"), F.col("hub.n"), percent))
     return met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
 
 
@@ -271,15 +278,15 @@ def near_groups(
     alone = rows.filter("doc_id IS NULL OR cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("node"))
     members = C.with_group(linkable, ["cls"], F.xxhash64("doc_id"), node=(F.col("doc_id"), "min"))
     members = C.checkpointed(members.select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig")))
-    reps = members.filter("sig IS NOT NULL").select("node", "sig").dropDuplicates(["node", "sig"])
+    reps = members.filter("sig IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["node", "sig"])
     heads = C.checkpointed(prefixes(reps, count, matches))
     texts = docs.select(F.col("doc_id").alias("node"), C.binary_text().alias("text"))
     texts = C.staged(sketched(C.in_table(texts, heads, "node"), width))
-    profiles = C.staged(reps.join(heads, "node").join(texts.select("node", "n", "bits"), "node"))
-    posted = heads.select(F.explode("prefix").alias("key"), "node", "weight")
+    profiles = C.staged(reps.select("node", "sig").join(heads, "node").join(texts.select("node", "bits"), "node"))
+    posted = heads.select(F.explode("prefix").alias("key"), "node", "weight", "n")
 
     links = _Links(profiles, texts, matches, percent, width)
-    found = links.found(_with_hubs(posted))
+    found = links.found(_with_hubs(posted, percent))
     roots = components(found)
     more = links.found(_rest(C.checkpointed(_open(posted, roots)), profiles, percent))
     if not more.isEmpty():

@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -133,8 +132,8 @@ class WordTokenizer:
 
     The tokenizer cuts the raw text at the strings of its added tokens, which get their ids; they hold no
     white space. Of the rest it drops white space and merges inside parts that its pattern finds in the
-    composed, lower-cased text. So a text's ids are those of its words, one after another. Parts not met
-    before go to the library together; each part's last id is one that ends a word.
+    composed, lower-cased text. So a text's ids are those of its words, one after another. Words with other than ASCII
+    characters go to the library as they are, parts of the rest together; each part's last id is one that ends a word.
     """
 
     def __init__(self, definition: str) -> None:
@@ -154,26 +153,32 @@ class WordTokenizer:
         self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        split = {w: self._split(w.decode()) for w in words}
+        # Beyond ASCII the library's Unicode tables decide, not Python's: such words go to it whole and as they are.
+        other = [w for w in words if not w.isascii()]
+        for word, found in zip(other, self.library.encode_batch([w.decode() for w in other], add_special_tokens=False), strict=True):
+            self.words[word] = np.array(found.ids, "<u4").tobytes()
+        split = {w: self._split(w.decode()) for w in words if w.isascii()}
         new = list({p for parts in split.values() for p in parts if p not in self.added}.difference(self.parts))
         if new:
             ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(new):
-                raise ValueError("the tokenizer's parts are not those of its pattern")
-            data, at = ids.tobytes(), 0
-            for part, cut in zip(new, (cuts * 4).tolist(), strict=True):
-                self.parts[part] = data[at:cut]
-                at = cut
+            if len(cuts) == len(new):
+                data, at = ids.tobytes(), 0
+                for part, cut in zip(new, (cuts * 4).tolist(), strict=True):
+                    self.parts[part] = data[at:cut]
+                    at = cut
+            else:  # an id in the middle of a part looks like an end
+                for part, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
+                    self.parts[part] = np.array(found.ids, "<u4").tobytes()
         parts, added = self.parts, self.added
         for word, own in split.items():
             self.words[word] = b"".join([added.get(p) or parts[p] for p in own])
 
     def _split(self, word: str) -> list[str]:
-        """Added tokens as they are, and the parts of what lies between them; no part equals an added token."""
+        """Of an ASCII word: added tokens as they are, and the parts of what lies between them; no part equals an added token."""
         out: list[str] = []
         for i, piece in enumerate(self.cut(word)):
-            out += [piece] if i % 2 else self.split(_lower(unicodedata.normalize("NFC", piece)))
+            out += [piece] if i % 2 else self.split(piece.lower())
         return out
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
@@ -190,11 +195,6 @@ class WordTokenizer:
         return [b"".join(map(find, words)) + last for words in split]
 
 
-def _lower(text: str) -> str:
-    """Letter by letter: a final sigma is no case of its own."""
-    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-
-
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -273,7 +273,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end: int) -> None:
     spark = docs.sparkSession
     raw_blocks(docs, vocabulary, end).write.option("compression", "zstd").parquet(f"{path}/raw")
     raw = spark.read.schema(_BLOCKS).parquet(f"{path}/raw")
-    frequencies(raw).coalesce(1).write.parquet(f"{path}/table")
+    frequencies(raw).repartition(1).write.parquet(f"{path}/table")
     table = spark.sparkContext.broadcast(_read_table(spark, path))
     names = ["part", "block", "n", "doc_ids", "lengths", "before"]
 

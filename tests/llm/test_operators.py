@@ -236,7 +236,6 @@ def test_exact_dedup(docs, rows, empty):
 def test_token_files(spark, docs, rows, empty, tmp_path, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     monkeypatch.setattr(token_files, "BLOCK", 5000)  # the longest text runs over several blocks
     token_files.write_files(docs, str(tmp_path / "t"), path, end=2)
     got = sorted(map(tuple, token_files.read_files(spark, str(tmp_path / "t")).collect()), key=lambda r: r[1])
@@ -265,6 +264,21 @@ def test_token_files_added_tokens(spark, tmp_path):
     assert by_id(token_files.read_files(spark, str(tmp_path / "t"))) == expected
 
 
+def test_tokenizer_equals_the_library_on_every_character():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    ours = token_files.WordTokenizer(library.to_str())
+    chars = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c <= 0xDFFF] + [chr(c) for c in range(0x20000, 0x110000, 257)]
+    texts = ["".join(f"a{c}b x{c} " for c in chars[i : i + 500]) for i in range(0, len(chars), 500)]
+    texts += ["\u0130\u05bf", "\u0e49\U00011d45", "\u0595\U00011a47", "a\u0558b", "e\u0301 E\u0301 \u1e9b\u0323"]
+    draw = np.random.default_rng(1)
+    some = ["a", "'s", "1", " ", "\u0301", "\u0130", "\u03a3", "\u0085", "\u05bf", "\U00011d45", "<|endoftext|>", "\u0558", "\ufb03", "Z"]
+    texts += ["".join(draw.choice(some, 12)) for _ in range(3000)]
+    got = ours.encode([t.encode() for t in texts], 2)
+    for text, found in zip(library.encode_batch(texts, add_special_tokens=False), got, strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == [*text.ids, 2]
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(0)
     for n in (1, 2, 1000, 5000, 300_000):
@@ -291,6 +305,12 @@ def test_language_id(spark, docs, rows, empty):
     assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 for i, _, lang in data[60:])
     best, score, chosen = language_id.infer(model, [text("aa", 1, 80) + " " + text("bb", 2, 60), "12 ?", ""])
     assert (best[0], set(chosen[0]), best[1:]) == ("aa", {"aa", "bb"}, ["und", "und"]) and 0.4 < score[0] < 0.8
+    letters |= {"dd": "hijkl", "ee": "yzäöü"}
+    many = lambda lang, i, n=60: " ".join(letters[lang][(i + j) % 5] + letters[lang][(i * j) % 5] + letters[lang][j % 5] for j in range(n))
+    five = [(i, many(lang, i), lang) for i in range(100) for lang in [sorted(letters)[i % 5]]]
+    of_five = language_id.learn(spark.createDataFrame(five, "doc_id bigint, text string, lang string"))
+    _, share, sets = language_id.infer(of_five, [" ".join(many(lang, sorted(letters).index(lang)) for lang in ("aa", "bb", "dd", "ee")), many("cc", 2)])
+    assert [set(s) for s in sets] == [{"aa", "bb", "dd", "ee"}, {"cc"}] and share[0] < 0.4 and share[1] == 1.0
     odd = language_id.predict(docs, model).collect()
     assert len(odd) == len(rows)
     for r in odd:
