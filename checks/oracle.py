@@ -6,6 +6,7 @@ after it. The lazy prefix makes the match the leftmost one.
 """
 
 from checks import forms
+from maskwright import fixed_values as fixed
 
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
@@ -14,25 +15,17 @@ WS = r"\t-\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 S = f"[{WS}]"
 NOT_WORD_AFTER = rf"(?:{NW}|$)"
 
-_MONTHS = (
-    "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|"
-    "Sep(?:tember)?|Sept|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
-)
 _DATE = (
     rf"(?:{D}{{1,2}}[/-]{D}{{1,2}}[/-]{D}{{2,4}}|{D}{{4}}[/-]{D}{{1,2}}[/-]{D}{{1,2}}|"
-    rf"{D}{{1,2}}{S}+(?:{_MONTHS}){S}+{D}{{4}})"
+    rf"{D}{{1,2}}{S}+(?:{'|'.join(fixed.MONTHS)}){S}+{D}{{4}})"
 )
 _OCTET = rf"(?:25[0-5]|2[0-4]{D}|1?{D}?{D})"
 _PERSON = rf"(?:Mr\.|Ms\.|Mrs\.|Dr\.)?{S}*[A-Z][a-z]+(?:{S}+[A-Z][a-z]+){{1,3}}"
 _POSTAL = rf"(?:^|{NW})(?:{D}{{3}}{S}?{D}{{3}}|{D}{{5}}(?:-{D}{{4}})?)(?:{NW}|$)"
-_HINT = (
-    rf"(?i)(?:^|{NW})(?:road|rd|street|st|avenue|ave|lane|ln|drive|dr|boulevard|blvd|suite|apt|apartment|floor|"
-    rf"building|tower|office|po{S}+box|village|taluka|nagar|mumbai|pune|india|usa|united{S}+states)(?:{NW}|$)"
-)
-_FORMS = (
-    rf"(?:Private{S}+Limited|Public{S}+Limited|Pvt\.?{S}+Ltd|Limited|Ltd|LLP|LLC|Inc|Incorporated|"
-    r"Corporation|Corp|Company|Co|Bank|PLC|GmbH)"
-)
+# A word's dot is no word character, so the bound after the word holds without it.
+_bare = lambda words: "|".join(w.removesuffix(r"\.?").replace(r"\s", S) for w in words if not w.endswith(r"\."))
+_HINT = rf"(?i)(?:^|{NW})(?:{_bare(fixed.ADDRESS_HINTS)})(?:{NW}|$)"
+_FORMS = f"(?:{_bare(fixed.LEGAL_FORMS)})"
 
 
 def quote(text: str) -> str:

@@ -10,22 +10,28 @@ SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 IPV4 = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.])"
 CARD = r"(?<!\d)(?:\d[ -]?){13,19}\d(?!\d)"
 PHONE = r"(?<!\w)(?:\+?\s?\d{1,3}[\s.-]?)?(?:\(?0?\d{2,5}\)?[\s.-]?)?\d{3,5}[\s.-]\d{4,6}(?!\w)"
+MONTHS = (
+    "Jan(?:uary)?", "Feb(?:ruary)?", "Mar(?:ch)?", "Apr(?:il)?", "May", "Jun(?:e)?", "Jul(?:y)?", "Aug(?:ust)?",
+    "Sep(?:tember)?", "Sept", "Oct(?:ober)?", "Nov(?:ember)?", "Dec(?:ember)?",
+)
 DATE = (
     r"(?i)\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2}|"
-    r"\d{1,2}\s+(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|"
-    r"Sep(?:tember)?|Sept|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{4})\b"
+    rf"\d{{1,2}}\s+(?:{'|'.join(MONTHS)})\s+\d{{4}})\b"
 )
 POSTAL = r"\b(?:\d{3}\s?\d{3}|\d{5}(?:-\d{4})?)\b"
-ADDRESS_HINT = (
-    r"(?i)\b(?:road|rd\.?|street|st\.?|avenue|ave\.?|lane|ln\.?|drive|dr\.?|boulevard|blvd\.?|suite|apt\.?|"
-    r"apartment|floor|building|tower|office|po\s+box|village|taluka|nagar|mumbai|pune|india|usa|united\s+states)\b"
+ADDRESS_HINTS = (
+    "road", r"rd\.?", "street", r"st\.?", "avenue", r"ave\.?", "lane", r"ln\.?", "drive", r"dr\.?", "boulevard", r"blvd\.?",
+    "suite", r"apt\.?", "apartment", "floor", "building", "tower", "office", r"po\s+box", "village", "taluka", "nagar",
+    "mumbai", "pune", "india", "usa", r"united\s+states",
 )
+ADDRESS_HINT = rf"(?i)\b(?:{'|'.join(ADDRESS_HINTS)})\b"
 PERSON = r"(?:Mr\.|Ms\.|Mrs\.|Dr\.)?\s*[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}"
 TITLED_NAME = r"\b(?:Mr\.|Ms\.|Mrs\.|Dr\.)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b"
-COMPANY = (
-    r"\b(?:[A-Z][A-Za-z0-9&.'-]*,?\s+){1,8}(?:Private\s+Limited|Public\s+Limited|Pvt\.?\s+Ltd\.?|Limited|Ltd\.?|"
-    r"LLP|L\.L\.P\.|LLC|L\.L\.C\.|Inc\.?|Incorporated|Corporation|Corp\.?|Company|Co\.?|Bank|PLC|GmbH)\b"
+LEGAL_FORMS = (
+    r"Private\s+Limited", r"Public\s+Limited", r"Pvt\.?\s+Ltd\.?", "Limited", r"Ltd\.?", "LLP", r"L\.L\.P\.", "LLC", r"L\.L\.C\.",
+    r"Inc\.?", "Incorporated", "Corporation", r"Corp\.?", "Company", r"Co\.?", "Bank", "PLC", "GmbH",
 )
+COMPANY = rf"\b(?:[A-Z][A-Za-z0-9&.'-]*,?\s+){{1,8}}(?:{'|'.join(LEGAL_FORMS)})\b"
 
 # Fixed values: "label, then captured value" patterns, as (label part, value part).
 PHONE_LABEL = (

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_blank, strip
-from maskwright.operators.numbering import chunk_of, number_rows
+from maskwright.operators.numbering import RANGES, chunk_of, number_rows, range_of
 from maskwright.plans.staging import input_bytes
 from maskwright.schema import CHUNK
 
@@ -42,16 +42,29 @@ def from_documents(docs: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def from_rows(rows: DataFrame, doc_id: str, position: str, text: str, size: int = CHUNK) -> DataFrame:
-    """One paragraph per row (a turn of a conversation, say), numbered by an integer position."""
+def from_rows(rows: DataFrame, doc_id: str, position: str, text: str, ranges: int = RANGES) -> DataFrame:
+    """One paragraph per row (a turn of a conversation, say), numbered by an integer position of any distances.
+
+    Rows are numbered, and see the text before theirs, inside ranges of (document, position). Of each range, only its
+    size and its last text pass a window over the document. Rows with equal positions follow their texts.
+    """
     named = rows.select(
         F.col(doc_id).alias("doc_id"), F.col(position).alias("_position"), F.col(text).alias("text")
     )
-    numbered = number_rows(
-        named, ["doc_id"], {"_chunk": chunk_of(F.col("_position"), size)}, [F.col("_position")], "_number"
-    )
-    return numbered.select(
-        "doc_id", (F.col("_number") - 1).alias("para_idx"), F.lit("body").alias("story"), "text"
+    ranged = named.withColumn("_range", range_of(named, ["doc_id", "_position"], ranges))
+    last = F.max(F.struct("_position", "text"))["text"]
+    ends = ranged.groupBy("doc_id", "_range").agg(F.count("*").alias("_size"), last.alias("_last"))
+    along = Window.partitionBy("doc_id").orderBy("_range")
+    before = F.coalesce(F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ends.select("doc_id", "_range", before.alias("_start"), F.lag("_last").over(along).alias("_carried"))
+    inside = Window.partitionBy("doc_id", "_range").orderBy("_position", "text")
+    numbered = ranged.withColumns({"_rank": F.row_number().over(inside), "_above": F.lag("text").over(inside)})
+    return numbered.join(starts, ["doc_id", "_range"]).select(
+        "doc_id",
+        (F.col("_start") + F.col("_rank") - 1).cast("int").alias("para_idx"),
+        F.lit("body").alias("story"),
+        "text",
+        F.when(F.col("_rank") == 1, F.col("_carried")).otherwise(F.col("_above")).alias("prev_text"),
     )
 
 

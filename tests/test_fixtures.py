@@ -8,20 +8,15 @@ from maskwright.sources.paragraphs import from_blocks
 
 ONE_EACH = dict.fromkeys(("name", "email", "phone", "company", "address", "ssn", "card", "dob", "ip"), 1)
 
-MUSEUM = [
-    "Harbour museum, after the spring open day",
-    "Dr. Elif Sander opened the hall, and Mrs. Greta Nowak took over after lunch.",
-    "The night guard is Ms. Ines Moura.",
-    "Partner: Tomas Velde",
-    "Write to rota@harbour-museum.example before Friday.",
-    "WhatsApp 98450 11223",
-    "All tiles were a gift of Bluefin Ceramics Limited.",
-    "Deliveries go to 12 Quay Road, 30459 Emden, ring twice.",
-    "The crew is insured under 512-44-9083.",
-    "The deposit came from 5555 5555 5555 4444.",
-    "Born 7 Mar 1969, the keeper still climbs every stair.",
-    "The door log shows 10.44.3.21 at dusk.",
-    "We open again on 12 April 2026.",
+BRASS = [
+    "Minutes of the brass section",
+    "Rehearsal fees went to 6011 0009 9013 9424, says the treasurer, Mr. Pavel Horn.",
+    "Mrs. Alba Reyes lent the hall; her line is Tel 98450 11223 until Sunday.",
+    "Sent from 172.30.1.9, signed Ms. Juno Falk, copy to brass@section.example.",
+    "Tubas are insured by Copper Lane Limited under 512-44-9083.",
+    "Our oldest player, born 7 Mar 1969, and Dr. Otto Lindqvist share a stand.",
+    "Chairs are stored at 12 Quay Road, 30459 Emden, behind the lift.",
+    "We play again on 12 April 2026.",
 ]
 VET = [
     "Veterinary clinic, a grey cat",
@@ -50,12 +45,12 @@ FERRY = [
     "Uniform charged to 3530 1113 3330 0000.",
     "She sails on 3 May 2026.",
 ]
-GOSSIP = [
-    "Harbour gossip",
-    "Bram Hoekstra sold the barge to Lotte Veen through Kestrel at noon.",
-    "Ask at lotte@veen.example",
-    "The lock keeper answers +1 415-555-0177",
-    "Low tide at nine.",
+PLOT = [
+    "Garden plot nine",
+    "The shed key hangs with Femke Aalders.",
+    "For seeds try +1 415-555-0177, then seeds@plot.example if nobody answers.",
+    "Water bills now come from Rillgate, as Joris Blom noticed.",
+    "Low sun at nine.",
 ]
 
 
@@ -84,15 +79,15 @@ def counts(result):
 
 
 def test_counts(lines_of):
-    result = redact(lines_of(MUSEUM, VET, FERRY, GOSSIP))
+    result = redact(lines_of(BRASS, VET, FERRY, PLOT))
     assert counts(result) == {
         0: {**ONE_EACH, "name": 4}, 1: ONE_EACH, 2: ONE_EACH, 3: {"email": 1, "phone": 1},
     }
     texts = {(r["doc_id"], r["para_idx"]): r["redacted"] for r in result.redacted.collect()}
-    for doc, lines in enumerate((MUSEUM, VET, FERRY, GOSSIP)):
+    for doc, lines in enumerate((BRASS, VET, FERRY, PLOT)):
         assert texts[doc, len(lines) - 1] == lines[-1]
     # A line address swallows its label; without a hint word the label survives.
-    assert texts[0, 7] == "101 Example Avenue, Sample City - 400001, India"
+    assert texts[0, 6] == "101 Example Avenue, Sample City - 400001, India"
     assert texts[1, 5].startswith("Billing address: 101 Example Avenue")
     assert texts[1, 1] == VET[1]
 
@@ -109,15 +104,15 @@ def test_table_cells(blocks):
 
 
 def test_annotations(spark, lines_of):
-    said = [(1, "Bram Hoekstra", "PERSON"), (1, "Lotte Veen", "PERSON"), (1, "Kestrel", "ORG"), (1, "noon", "GPE"), (4, "Low", "PERSON")]
-    places = [(0, i, GOSSIP[i].index(t), GOSSIP[i].index(t) + len(t), label, t) for i, t, label in said]
+    said = [(1, "Femke Aalders", "PERSON"), (3, "Rillgate", "ORG"), (3, "Joris Blom", "PERSON"), (4, "nine", "GPE"), (4, "Low", "PERSON")]
+    places = [(0, i, PLOT[i].index(t), PLOT[i].index(t) + len(t), label, t) for i, t, label in said]
     entities = spark.createDataFrame(places, "doc_id bigint, para_idx int, start int, end int, label string, text string")
-    result = redact(lines_of(GOSSIP), mode="hybrid", entities=entities)
+    result = redact(lines_of(PLOT), mode="hybrid", entities=entities)
     assert counts(result) == {0: {"company": 1, "email": 1, "name": 2, "phone": 1}}
     with pytest.raises(ValueError):
-        redact(lines_of(GOSSIP), mode="both")
+        redact(lines_of(PLOT), mode="both")
     with pytest.raises(ValueError):
-        redact(lines_of(GOSSIP), mode="hybrid")
+        redact(lines_of(PLOT), mode="hybrid")
 
 
 def test_runs_keep_style(spark, lines_of):

@@ -100,12 +100,19 @@ def test_same_value_same_fake(lines_of):
     assert texts[1, 0] == "contact001@example.com"
 
 
-def test_turns_and_previous(spark):
-    rows = spark.createDataFrame([(5, t, f"t{t}") for t in (9, 2, 4, 70)], "conv bigint, turn bigint, words string")
-    got = P.with_previous(P.from_rows(rows, "conv", "turn", "words", size=3)).orderBy("para_idx").collect()
-    assert [(r["para_idx"], r["text"], r["prev_text"]) for r in got] == [
-        (0, "t2", None), (1, "t4", "t2"), (2, "t9", "t4"), (3, "t70", "t9"),
-    ]
+@pytest.mark.parametrize("ranges", [1, 3, 256])
+def test_turns_and_previous(spark, ranges):
+    """Positions are timestamps, in bursts and with equal ones; one conversation holds most rows."""
+    draw = __import__("random").Random(2)
+    rows = [(c, 1_700_000_000_000 + draw.choice((0, 10**9)) + draw.randrange(700), f"t{i}") for i in range(600) for c in [5 if i % 3 else i % 11]]
+    rows += [(77, None, "unplaced"), (77, 3, "x"), (77, 3, "a"), (77, -4, "first")]
+    table = spark.createDataFrame(rows, "conv bigint, turn bigint, words string").repartition(5)
+    got = P.with_previous(P.from_rows(table, "conv", "turn", "words", ranges)).collect()
+    expected = []
+    for conv in {r[0] for r in rows}:
+        own = [r[2] for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))]
+        expected += [(conv, i, t, own[i - 1] if i else None) for i, t in enumerate(own)]
+    assert sorted((r["doc_id"], r["para_idx"], r["text"], r["prev_text"]) for r in got) == sorted(expected, key=lambda r: r[:2])
 
 
 def test_merged_cells_and_nested_tables(spark):
@@ -123,8 +130,16 @@ def test_merged_cells_and_nested_tables(spark):
 
 
 def test_preview(lines_of):
-    got = P.preview(lines_of(["a", "", " b ", "c"], ["x"]), 2).orderBy("doc_id", "line_no").collect()
-    assert [tuple(r) for r in got] == [(0, 1, "a", 3, True), (0, 2, "b", 3, True), (1, 1, "x", 1, False)]
+    got = P.preview(lines_of(["a", "", " b ", "c"], ["x"], ["", " "]), 2).orderBy("doc_id", "line_no").collect()
+    assert [tuple(r) for r in got] == [(0, 1, "a", 3, True), (0, 2, "b", 3, True), (1, 1, "x", 1, False), (2, None, None, 0, False)]
+
+
+def test_audits_list_documents_without_finds(spark, lines_of):
+    docs = spark.createDataFrame([(0,), (1,)], "doc_id bigint")
+    spans = spark.createDataFrame([("rules", 0, "email"), ("hybrid", 0, "email"), ("hybrid", 0, "name")], "mode string, doc_id bigint, pii_type string")
+    lacking = {r["doc_id"]: (r["lacking"], r["complete"]) for r in score.coverage(spans, docs, ("name", "email")).collect()}
+    assert lacking == {0: ("", True), 1: ("email,name", False)}
+    assert sorted(tuple(r) for r in score.mode_delta(spans, docs).collect()) == [(0, 1, 2, 1), (1, 0, 0, 0)]
 
 
 def test_marker_audit(spark):
