@@ -127,13 +127,17 @@ def decode_block(data: bytes, table: Table, first: int = 0, count: int | None =
     return out
 
 
+# Words of letters below U+0250, about which all versions of Unicode agree, but for the dotted capital I; they are composed already.
+PLAIN = re.compile("[\0-\u012f\u0131-\u024f]*").fullmatch
+
+
 class WordTokenizer:
     """The tokenizers library's ids of whole texts, word by word.
 
     The tokenizer cuts the raw text at the strings of its added tokens, which get their ids; they hold no
     white space. Of the rest it drops white space and merges inside parts that its pattern finds in the
-    composed, lower-cased text. So a text's ids are those of its words, one after another. Words with other than ASCII
-    characters go to the library as they are, parts of the rest together; each part's last id is one that ends a word.
+    composed, lower-cased text. So a text's ids are those of its words, one after another. Words with characters from
+    U+0250 on go to the library as they are, parts of the rest together; each part's last id is one that ends a word.
     """
 
     def __init__(self, definition: str) -> None:
@@ -153,11 +157,18 @@ class WordTokenizer:
         self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        # Beyond ASCII the library's Unicode tables decide, not Python's: such words go to it whole and as they are.
-        other = [w for w in words if not w.isascii()]
-        for word, found in zip(other, self.library.encode_batch([w.decode() for w in other], add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
-        split = {w: self._split(w.decode()) for w in words if w.isascii()}
+        decoded = {w: w.decode() for w in words}
+        split = {w: self._split(t) for w, t in decoded.items() if PLAIN(t)}
+        # Elsewhere the library's Unicode tables decide, not Python's: such words go to it as they are.
+        other = [w for w in words if w not in split]
+        if other:
+            lengths = np.array([len(decoded[w]) + 1 for w in other])
+            found = self.library.encode(" ".join(decoded[w] for w in other), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            of = np.searchsorted(np.cumsum(lengths) - lengths, np.array([at for at, _ in found.offsets], np.int64), "right")
+            ends = np.searchsorted(of, np.arange(1, len(other) + 1), "right")
+            for word, own in zip(other, np.split(ids, ends[:-1]), strict=True):
+                self.words[word] = own.tobytes()
         new = list({p for parts in split.values() for p in parts if p not in self.added}.difference(self.parts))
         if new:
             ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
@@ -175,7 +186,7 @@ class WordTokenizer:
             self.words[word] = b"".join([added.get(p) or parts[p] for p in own])
 
     def _split(self, word: str) -> list[str]:
-        """Of an ASCII word: added tokens as they are, and the parts of what lies between them; no part equals an added token."""
+        """Of a plain word: added tokens as they are, and the parts of what lies between them; no part equals an added token."""
         out: list[str] = []
         for i, piece in enumerate(self.cut(word)):
             out += [piece] if i % 2 else self.split(piece.lower())
