@@ -148,6 +148,8 @@ class WordTokenizer:
         self.added = {t.content: struct.pack("<I", i) for i, t in added.items()}
         longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(longest_first)})").split if added else lambda word: [word]
+        first_signs = "".join(sorted({re.escape(t[0]) for t in self.added}))
+        self.may_hold_added = re.compile(f"[{first_signs}]").search if added else lambda word: None
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
@@ -157,13 +159,18 @@ class WordTokenizer:
         self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        decoded = {w: w.decode() for w in words}
-        split = {w: self._split(t) for w, t in decoded.items() if PLAIN(t)}
-        # Elsewhere the library's Unicode tables decide, not Python's: such words go to it as they are.
-        other = [w for w in words if w not in split]
+        split, other = {}, {}
+        for word in words:
+            text = word.decode()
+            if not PLAIN(text):  # here the library's Unicode tables decide, not Python's: such words go to it as they are
+                other[word] = text
+            elif self.may_hold_added(text):
+                split[word] = self._split(text)
+            else:
+                split[word] = self.split(text.lower())
         if other:
-            lengths = np.array([len(decoded[w]) + 1 for w in other])
-            found = self.library.encode(" ".join(decoded[w] for w in other), add_special_tokens=False)
+            lengths = np.array([len(t) + 1 for t in other.values()])
+            found = self.library.encode(" ".join(other.values()), add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             of = np.searchsorted(np.cumsum(lengths) - lengths, np.array([at for at, _ in found.offsets], np.int64), "right")
             ends = np.searchsorted(of, np.arange(1, len(other) + 1), "right")
