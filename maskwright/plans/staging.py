@@ -36,30 +36,7 @@ class Workspace:
         folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
-def estimated_bytes(rows: DataFrame) -> int:
-    """Catalyst's size of a plan; of a plain table scan, the size of its files."""
-    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def input_bytes(rows: DataFrame) -> int:
     """The size of the files and tables that a plan reads."""
     leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-# Files are compressed: a table may take this many times their size in memory.
-UNPACKED = 4
-
-
-def fits_broadcast(rows: DataFrame) -> bool:
-    """Whether a table is known to be below the session's broadcast limit.
-
-    Only the size of a written table is a fact. For anything computed the answer is no.
-    """
-    plan = rows._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() in ("Project", "Filter"):
-        plan = plan.child()
-    if plan.nodeName() not in ("LogicalRelation", "LocalRelation"):
-        return False
-    limit = rows._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
-    return estimated_bytes(rows) * UNPACKED <= limit
