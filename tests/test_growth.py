@@ -4,10 +4,13 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from maskwright import fixed_values as fixed
 from maskwright.functions import spans as S
-from maskwright.operators import dictionary, entities, inverted, score
+from maskwright.functions.dialect import java
+from maskwright.operators import dictionary, entities, inverted, report, rewrite, score
 from maskwright.operators.detectors import candidates, span_rows
 from maskwright.plans import evaluate, staging
+from maskwright.plans import redact as redaction
 from maskwright.plans.redact import resolved
 from maskwright.sources import paragraphs as P
 
@@ -90,3 +93,45 @@ def test_settling_few_candidates_and_one_match(spark):
     text = spark.createDataFrame([("a@b.org",), ("é a@b.org, c@d.org",), ("none",)], "text string").selectExpr("1 AS doc_id", "0 AS para_idx", "text")
     found = {r.text: [(s.start, s.end) for s in r.candidates] for r in candidates(text).collect()}
     assert found == {"a@b.org": [(0, 7)], "é a@b.org, c@d.org": [(2, 9), (11, 18)], "none": []}
+
+
+def test_a_redaction_runs_the_patterns_once(spark, lines_of, monkeypatch):
+    lines = lines_of(["Mr. Jonas Ito met Red Maple Inc.", "Full Name:", "Ada Byron", "Jonas Ito saw Ada Byron; Ada Byron left"], ["a@b.org", ""])
+    runs = []
+    for module, name in ((redaction, "candidates"), (dictionary, "candidates"), (dictionary, "seed_candidates")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), **b: runs.append(1) or f(*a, **b), raising=False)
+    result = redaction.redact(lines)
+    assert len(runs) == 1
+    twice = resolved(lines, dictionary.learn(lines))
+    assert rows_of(result.spans) == rows_of(span_rows(twice, "spans"))
+    assert {(r.doc_id, r.start, r.value) for r in result.spans.collect() if r.para_idx == 3} == {(0, 14, "Ada Byron"), (0, 25, "Ada Byron")}
+
+
+def test_a_value_that_stands_once_is_placed_as_by_its_pattern(spark):
+    texts = ["", "Ada", "Ada Ada", "xAda", "Ada_", "Ada Adam", "é Ada.", "\U0001d49cAda", "Ada\U0001d49c", "\U0001f600Ada\U0001f600", "AdaAda Ada", "aAaAa", r"\E.\Q Ada", None]
+    values = ["Ada", "a", "AaA", "da", r"\E.\Q", "😀", " ", "Ada Ada", ""]
+    pairs = spark.createDataFrame([(t, v) for t in texts for v in values], "t string, v string")
+    rest = F.col("v"), F.lit("name"), F.lit(14)
+    got = pairs.select("t", "v", S.find_literal(F.col("t"), *rest).alias("ours"), S._find_pattern(F.col("t"), *rest).alias("plain")).collect()
+    assert [r for r in got if (r.ours or []) != (r.plain or [])] == []
+    assert [[(s.start, s.end) for s in r.ours] for r in got if (r.t, r.v) == ("é Ada.", "Ada")] == [[(2, 5)]]
+
+
+def test_hits_that_a_candidate_doubles_do_not_reach_the_overlaps(spark):
+    c, other, entity = (0, 3, "name", "Ada", 12), (4, 7, "company", "Bob", 13), (8, 11, "name", "Eve", 19)
+    hits = [(0, 3, "name", "Ada", 14), (4, 7, "name", "Bob", 14), (8, 11, "name", "Eve", 14)]
+    rows = spark.createDataFrame([([c, other, entity], hits), ([], hits), ([c], [])], f"c {S.SPANS}, h {S.SPANS}")
+    kept = rows.withColumn("k", S.without_doubles(F.col("h"), F.col("c")))
+    kept = kept.select("k", S.resolve(F.concat("c", "k")).alias("few"), S.resolve(F.concat("c", "h")).alias("all")).collect()
+    assert [[s.start for s in r.k] for r in kept] == [[4, 8], [0, 4, 8], []] and all(r.few == r.all for r in kept)
+
+
+def test_shapes_are_counted_only_where_they_can_stand_and_texts_are_spliced_plainly(spark):
+    texts = ["a@EXAMPLE.com b@example.com", "Example Entity 7 Limited, Example Avenue, Sample City", "+91 12345 12345 900-01-1234", "4111 1111 1111 1234 203.0.113.9", "ſ@example.com", " ", None, "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "redacted string")
+    plain = rows.agg(*[F.sum(F.regexp_count("redacted", F.lit(java(p)))).alias(n) for n, p in fixed.MARKERS.items()])
+    audit = report.marker_audit(rows)
+    assert audit.drop("non_blank_paragraphs").first().asDict() == plain.first().asDict()
+    assert "Contains" in audit._jdf.queryExecution().optimizedPlan().toString()
+    replaced = spark.createDataFrame([("é Ada, Bob", [(2, 5, "X"), (7, 10, "Y")]), ("Ada", [(0, 3, "Z")])], "t string, r array<struct<start: int, end: int, fake: string>>")
+    assert [r[0] for r in replaced.select(rewrite.spliced(F.col("t"), F.col("r"))).collect()] == ["é X, Y", "Z"]
