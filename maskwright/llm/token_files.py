@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -159,15 +160,26 @@ class WordTokenizer:
         self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        split, other = {}, {}
-        for word in words:
-            text = word.decode()
-            if not PLAIN(text):  # here the library's Unicode tables decide, not Python's: such words go to it as they are
-                other[word] = text
-            elif self.may_hold_added(text):
-                split[word] = self._split(text)
+        split, other, simple = {}, {}, list(words)
+        joined = b" ".join(simple).decode()
+        if not PLAIN(joined) or self.may_hold_added(joined):
+            simple = []
+            for word, text in zip(words, joined.split(" "), strict=True):
+                if not PLAIN(text):  # here the library's Unicode tables decide, not Python's: such words go to it as they are
+                    other[word] = text
+                elif self.may_hold_added(text):
+                    split[word] = self._split(text)
+                else:
+                    simple.append(word)
+            joined = b" ".join(simple).decode()
+        single = {}  # a word of letters is one part, signs after it another
+        for word, text in zip(simple, joined.lower().split(" ") if simple else (), strict=True):
+            if text.isalpha():
+                single[word] = text
+            elif (letters := text.rstrip(string.punctuation)).isalpha():
+                split[word] = [letters, text[len(letters) :]]
             else:
-                split[word] = self.split(text.lower())
+                split[word] = self.split(text)
         if other:
             lengths = np.array([len(t) + 1 for t in other.values()])
             found = self.library.encode(" ".join(other.values()), add_special_tokens=False)
@@ -176,9 +188,10 @@ class WordTokenizer:
             ends = np.searchsorted(of, np.arange(1, len(other) + 1), "right")
             for word, own in zip(other, np.split(ids, ends[:-1]), strict=True):
                 self.words[word] = own.tobytes()
-        new = list({p for parts in split.values() for p in parts if p not in self.added}.difference(self.parts))
+        parts = {p for own in split.values() for p in own if p not in self.added}
+        new = list(parts.union(single.values()).difference(self.parts))
         if new:
-            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")  # no offsets
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(new):
                 data, at = ids.tobytes(), 0
@@ -189,6 +202,7 @@ class WordTokenizer:
                 for part, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
                     self.parts[part] = np.array(found.ids, "<u4").tobytes()
         parts, added = self.parts, self.added
+        self.words.update(zip(single, map(parts.__getitem__, single.values())))
         for word, own in split.items():
             self.words[word] = b"".join([added.get(p) or parts[p] for p in own])
 

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import types
 import zlib
 
 import numpy as np
@@ -379,3 +380,17 @@ def test_byte_bpe_white_space_runs():
         for text in (f"word {run}word", f"word{run} word", f"word{run}word", f"{run}a b{run}", f"a b {run} c's {run}"):
             assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text), text
             assert codec.decode(codec.encode(text)) == text.encode()
+
+
+def test_plain_words_are_learned_without_offsets_and_letters_without_the_pattern():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own = token_files.WordTokenizer(library.to_str())
+    texts = ["Été naïve", "end. (start) it's 'tis a,b 12x x12 don't'", "ªº ÀÉ... __a__ a_ $5 ...", "ſt ﬁn日本 x<|endoftext|>Y. <b", "", " \t "]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts], 2)] == want
+    plain, split = token_files.WordTokenizer(library.to_str()), []
+    find = plain.split
+    plain.split = lambda word: split.append(word) or find(word)
+    plain.library = types.SimpleNamespace(encode_batch_fast=library.encode_batch_fast, encode_batch=library.encode_batch)
+    assert [np.frombuffer(x, "<u4").tolist() for x in plain.encode([t.encode() for t in texts[:3]], 2)] == want[:3]
+    assert split and not {"été", "naïve", "end.", "àé..."} & set(split)
