@@ -2,10 +2,11 @@
 
 1. Every text becomes a set of word shingles, a signature of ``COORDINATES`` minima, and a class: equal
    sets are one class, represented by its smallest doc_id, so copies are never paired.
-2. Representatives are posted under each (coordinate, value). Two signatures that agree in at least
-   ``MATCHES`` coordinates must share a posting among each one's rarest COORDINATES - MATCHES + 1 (the
-   prefix); the frequent rest is skipped and only counted when a pair is checked. Most documents
-   share fewer than ``MATCHES`` coordinates with anything and end here.
+2. Representatives are posted under the values of two coordinates at a time. Of signatures that agree in
+   at least ``MATCHES`` coordinates, so many of these couples agree too (``couples``): they share a posting
+   among each one's couples without the most frequent ones (the prefix); those are skipped and only counted
+   when a pair is checked. Two coordinates are seldom shared by chance, and a posting only counts for a
+   document if it shows another one of a size that allows a link: most documents end here.
 3. Inside a posting, documents first meet one hub, the one whose coordinates are the most common, instead
    of each other; agreeing coordinates are counted, pairs from ``MATCHES`` on are confirmed on the full
    sets, links are joined to components. Then only documents that a posting still shows in different
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm import common as C
@@ -81,13 +82,13 @@ def _coordinates(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], count: int = COORDINATES) -> np.ndarray:
-    """One row of ``count`` minima per non-empty set."""
+    """One row of ``count`` minima per non-empty set, of each the low 32 bits: equal minima stay equal."""
     flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
     factor, offset = _coordinates(count)
-    out = np.empty((len(sets), count), np.uint64)
+    out = np.empty((len(sets), count), np.uint32)
     for k in range(count):
-        out[:, k] = np.minimum.reduceat(flat * factor[k] + offset[k], starts)
-    return out.view(np.int64)
+        out[:, k] = np.minimum.reduceat(flat * factor[k] + offset[k], starts).astype(np.uint32)
+    return out.view(np.int32)
 
 
 def signed(docs: DataFrame, width: int, count: int) -> DataFrame:
@@ -98,14 +99,14 @@ def signed(docs: DataFrame, width: int, count: int) -> DataFrame:
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             full = [s for s in sets if len(s)]
-            values = signatures(full, count).reshape(-1) if full else np.empty(0, np.int64)
+            values = signatures(full, count).reshape(-1) if full else np.empty(0, np.int32)
             nulls = pa.array(sizes == 0)
             offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, count, 0))])
             sig = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=nulls)
             cls = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             yield pa.record_batch([batch.column(0), pa.array(sizes), cls, sig], ["doc_id", "n_shingles", "cls", "sig"])
 
-    return docs.select("doc_id", C.binary_text()).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, sig array<bigint>")
+    return docs.select("doc_id", C.binary_text()).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, sig array<int>")
 
 
 def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -129,11 +130,15 @@ def sketched(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, text binary, n bigint, bits array<bigint>")
 
 
+def sizes_allow(n: Column, o_n: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be linked; null beside a null, which ``least`` would pass over."""
+    return (100 * n >= percent * o_n) & (100 * o_n >= percent * n)
+
+
 def possible(n: Column, bits: Column, o_n: Column, o_bits: Column, percent: int) -> Column:
     """Whether the sketches allow the similarity: linked sets differ in at most (100 - p) / (100 + p) of their sizes' sum."""
     differing = sum((F.bit_count(bits[i].bitwiseXOR(o_bits[i])) for i in range(1, LANES)), F.bit_count(bits[0].bitwiseXOR(o_bits[0])))
-    sizes = 100 * F.least(n, o_n) >= percent * F.greatest(n, o_n)
-    return sizes & (differing * (100 + percent) <= (n + o_n) * (100 - percent))
+    return sizes_allow(n, o_n, percent) & (differing * (100 + percent) <= (n + o_n) * (100 - percent))
 
 
 def confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -162,17 +167,43 @@ def agreeing(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def prefixes(reps: DataFrame, count: int, matches: int) -> DataFrame:
-    """(node, prefix, weight): the rarest coordinate-value pairs of each representative, of which any partner
-    shares one; weight is how often all of its pairs occur, so it is large in the middle of a group."""
-    posted = reps.select("node", F.posexplode("sig").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node")
-    frequent = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = posted.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    # Coordinates that no other document has are the rarest: they use up the prefix first.
-    return shared.filter(F.size("keys") >= matches).select(
+def couples(count: int, matches: int) -> tuple[int, int]:
+    """How many coordinates are posted together, and how many such groups agree when ``matches`` of ``count`` coordinates do.
+
+    Each coordinate that differs spoils one group at most. If that leaves none, coordinates are posted one by one.
+    """
+    together = 2 if count // 2 > count - matches else 1
+    return together, count // together - (count - matches)
+
+
+def prefixes(reps: DataFrame, count: int, matches: int, percent: int) -> DataFrame:
+    """(node, n, prefix, weight): the rarest keys of each representative, of which any partner shares one; weight
+    is how often all of its keys occur, so it is large in the middle of a group.
+
+    A key counts if it has another document whose size allows a link. One between two sizes that allow it is
+    allowed with both, so the neighbours by size tell. Postings are dealt once, and counted where they lie.
+    """
+    together, least = couples(count, matches)
+    groups = [[F.col("sig")[i] for i in range(at, at + together)] for at in range(0, count - together + 1, together)]
+    keys = F.array(*[F.xxhash64(F.lit(number), *group) for number, group in enumerate(groups)])
+    posted = reps.select("node", "n", F.explode(keys).alias("key"))
+    by_size = Window.partitionBy("key").orderBy("n")
+    all_sizes = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = posted.select(
+        *posted.columns,
+        F.lag("n").over(by_size).alias("below"),
+        F.lead("n").over(by_size).alias("above"),
+        F.count(F.lit(1)).over(all_sizes).alias("times"),
+    )
+    allowed = [F.coalesce(sizes_allow(F.col("n"), F.col(c), percent), F.lit(False)) for c in ("below", "above")]
+    shared = met.filter(allowed[0] | allowed[1])
+    # Keys that no other document has are the rarest: they use up the prefix first.
+    lists = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("keys"))
+    return lists.filter(F.size("keys") >= least).select(
         "node",
-        F.slice("keys.key", F.lit(1), F.size("keys") - (matches - 1)).alias("prefix"),
-        F.aggregate("keys.n", F.lit(0).cast("bigint"), lambda total, n: total + n).alias("weight"),
+        "n",
+        F.slice("keys.key", F.lit(1), F.size("keys") - (least - 1)).alias("prefix"),
+        F.aggregate("keys.times", F.lit(0).cast("bigint"), lambda total, times: total + times).alias("weight"),
     )
 
 
@@ -227,33 +258,39 @@ class _Links:
         return C.checkpointed(confirmed(self._joined(likely, self.texts, "text"), self.percent, self.width).distinct())
 
 
-def _open(posted: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of the postings that show more than one component."""
-    rows = posted.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+def _open(posted: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, root) of the postings that show more than one component, as far as a row's size allows a link
+    with another component: with the nearest smaller or larger size of one."""
+    rows = posted.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     several = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    return rows.join(several, "key")
-
-
-def _with_hubs(posted: DataFrame) -> DataFrame:
-    """Pairs (u, v) of each posting's hub, its node with the largest weight, and its other nodes."""
-    hubs = posted.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    met = posted.join(hubs, "key").filter("node <> hub.node")
+    rows = rows.join(several, "key")
+    near = F.lit(False)
+    for name, order in (("below", ("n", "root")), ("above", (F.desc("n"), F.desc("root")))):
+        along = Window.partitionBy("key").orderBy(*order)
+        # The size before the run of rows of one root is the nearest of another.
+        before = F.when(F.lag("root").over(along) != F.col("root"), F.lag("n").over(along))
+        rows = rows.withColumn(name, before)
+        rows = rows.withColumn(name, F.last(name, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        near = near | F.coalesce(sizes_allow(F.col("n"), F.col(name), percent), F.lit(False))
+    return rows.filter(near).select("key", "node", "n", "root")
+
+
+def _with_hubs(posted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of each posting's hub, its node with the largest weight, and its other nodes of a size that allows a link."""
+    hubs = posted.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
+    met = posted.join(hubs, "key").filter(F.col("node") != F.col("hub.node")).filter(sizes_allow(F.col("n"), F.col("hub.n"), percent))
     return met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
 
 
 def _rest(posted: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a posting that lie in different components and whose sketches allow a link.
-
-    A pair that shares several postings leaves the join in one of them.
-    """
+    """All pairs of a posting that lie in different components and whose sketches allow a link."""
     parts = posted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    rows = posted.join(open_.select("key", F.col("top.root").alias("top")), "key").join(profiles.select("node", "n", "bits", "prefix"), "node")
-    outside = rows.filter("root <> top").select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", "bits", "prefix")])
+    rows = posted.join(open_.select("key", F.col("top.root").alias("top")), "key").join(profiles.select("node", "n", "bits"), ["node", "n"])
+    outside = rows.filter("root <> top").select(*[F.col(c).alias(f"o_{c}") for c in ("key", "node", "root", "n", "bits")])
     apart = F.expr("root <> o_root AND (root = top OR o_node < node)")
     near = possible(F.col("n"), F.col("bits"), F.col("o_n"), F.col("o_bits"), percent)
-    once = F.array_min(F.array_intersect("prefix", "o_prefix")) == F.col("o_key")
-    met = outside.withColumnRenamed("key", "o_key").join(rows, (F.col("o_key") == F.col("key")) & apart & near & once)
+    met = outside.join(rows, (F.col("o_key") == F.col("key")) & apart & near)
     return met.select(F.least("node", "o_node").alias("u"), F.greatest("node", "o_node").alias("v")).distinct()
 
 
@@ -266,22 +303,26 @@ def near_groups(
     Rows that repeat a doc_id are one document: what any of them links to, it links to. An empty
     table gives an empty one.
     """
-    rows = C.checkpointed(signed(docs, width, count))
+    rows = C.staged(signed(docs, width, count))
     linkable = rows.filter("doc_id IS NOT NULL AND cls IS NOT NULL")
     alone = rows.filter("doc_id IS NULL OR cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("node"))
-    members = C.with_group(linkable, ["cls"], F.xxhash64("doc_id"), node=(F.col("doc_id"), "min"))
-    members = C.checkpointed(members.select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig")))
-    reps = members.filter("sig IS NOT NULL").select("node", "sig").dropDuplicates(["node", "sig"])
-    heads = C.checkpointed(prefixes(reps, count, matches))
+    # Signatures stay behind: they are many times larger than the rest of a row.
+    members = C.with_group(linkable.drop("sig"), ["cls"], F.xxhash64("doc_id"), node=(F.col("doc_id"), "min"))
+    members = C.checkpointed(members.select("doc_id", "n_shingles", "cls", "node"))
+    copies = members.filter("doc_id <> node").select("doc_id", "cls").distinct()
+    reps = linkable.dropDuplicates(["doc_id", "cls"]).join(copies, ["doc_id", "cls"], "left_anti")
+    signed_sets = [F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig"]
+    heads = C.checkpointed(prefixes(reps.select(*signed_sets), count, matches, percent))
     texts = docs.select(F.col("doc_id").alias("node"), C.binary_text().alias("text"))
     texts = C.staged(sketched(C.in_table(texts, heads, "node"), width))
-    profiles = C.staged(reps.join(heads, "node").join(texts.select("node", "n", "bits"), "node"))
-    posted = heads.select(F.explode("prefix").alias("key"), "node", "weight")
+    profiles = C.in_table(linkable.select(*signed_sets), heads, "node").distinct()
+    profiles = C.staged(profiles.join(texts.select("node", "n", "bits").distinct(), ["node", "n"]))
+    posted = heads.select(F.explode("prefix").alias("key"), "node", "n", "weight")
 
     links = _Links(profiles, texts, matches, percent, width)
-    found = links.found(_with_hubs(posted))
+    found = links.found(_with_hubs(posted, percent))
     roots = components(found)
-    more = links.found(_rest(C.checkpointed(_open(posted, roots)), profiles, percent))
+    more = links.found(_rest(C.checkpointed(_open(posted, roots, percent)), profiles, percent))
     if not more.isEmpty():
         roots = components(found.union(more))
     linked = members.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
