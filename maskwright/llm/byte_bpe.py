@@ -28,7 +28,7 @@ from maskwright.llm import common as C
 # characters than the Unicode property, so some such spaces are not found, but never others.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
-# Parts, and stretches, that a worker remembers; a memory that is full is emptied.
+# Parts, and stretches, that a worker remembers during a task; a memory that is full is emptied.
 CACHE = 500_000
 
 
@@ -151,6 +151,13 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return _codecs[name]
 
 
+def forget() -> None:
+    """Empties the memories of this worker's codecs; the vocabularies stay."""
+    for own in _codecs.values():
+        own.parts.clear()
+        own.stretches.clear()
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, an array, on request) of every document.
 
@@ -178,7 +185,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
             yield pa.record_batch(columns, names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(C.leaving_nothing(run, forget), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -104,6 +104,27 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
+def leaving_nothing(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; at the end of its task the worker gives back what it holds.
+
+    Spark keeps idle workers, beside which tasks of the JVM and of other operators then need memory. ``forget``
+    empties what a module remembers between batches: a function of that module, as names of a module that are used here
+    would be copied to the workers.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def spread_over_cores(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """An explicit repartitioning, if asked for; otherwise the partitions of the scan."""
     return docs.repartition(partitions) if partitions else docs

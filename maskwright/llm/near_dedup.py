@@ -52,6 +52,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget() -> None:
+    """Empties this worker's memory of words."""
+    _hashes.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _PRIME
     return x ^ (x >> np.uint64(29))
@@ -106,7 +111,9 @@ def signed(docs: DataFrame, width: int, count: int) -> DataFrame:
             cls = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             yield pa.record_batch([batch.column(0), pa.array(sizes), cls, sig], ["doc_id", "n_shingles", "cls", "sig"])
 
-    return docs.select("doc_id", C.binary_text()).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, sig array<int>")
+    return docs.select("doc_id", C.binary_text()).mapInArrow(
+        C.leaving_nothing(run, forget), "doc_id bigint, n_shingles bigint, cls binary, sig array<int>"
+    )
 
 
 def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -127,7 +134,9 @@ def sketched(texts: DataFrame, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * LANES, pa.int32()), pa.array(bits))
             yield pa.record_batch([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), lists], ["node", "text", "n", "bits"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, text binary, n bigint, bits array<bigint>")
+    return texts.select("node", "text").mapInArrow(
+        C.leaving_nothing(run, forget), "node bigint, text binary, n bigint, bits array<bigint>"
+    )
 
 
 def sizes_allow(n: Column, o_n: Column, percent: int) -> Column:
@@ -159,7 +168,7 @@ def confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
                 near.append(100 * common >= percent * (len(one) + len(two) - common))
             yield pa.record_batch(batch.columns[:2], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
+    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(C.leaving_nothing(run, forget), "u bigint, v bigint")
 
 
 def agreeing(a: Column, b: Column) -> Column:

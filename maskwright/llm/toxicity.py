@@ -111,7 +111,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
                 counts = (Counter(), Counter())
         yield _counted(counts)
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "feature string, clean bigint, toxic bigint")
+    rows = sample.select("text", "toxic").mapInArrow(C.leaving_nothing(run), "feature string, clean bigint, toxic bigint")
     return rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -162,7 +162,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["toxic", "bad", "columns", "values"])
 
     # As many rows as the sample has, each with the features that are left.
-    table = rows.select("text", "toxic").mapInArrow(run, "toxic int, bad double, columns array<int>, values array<double>").toPandas()
+    table = rows.select("text", "toxic").mapInArrow(
+        C.leaving_nothing(run), "toxic int, bad double, columns array<int>, values array<double>"
+    ).toPandas()
     toxic, bad = table["toxic"].to_numpy(np.int64), table["bad"].to_numpy(np.float64)
     grades = toxic * (1 + (bad > np.median(bad[toxic == 1])))
     sizes = table["columns"].map(len).to_numpy(np.int64)
@@ -209,7 +211,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             yield pa.record_batch([batch.column(0), pa.array(severity), pa.array(toxic), pa.array(~toxic)], ["doc_id", "severity", "toxic", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), C.binary_text())
-    return rows.mapInArrow(run, "doc_id bigint, severity double, toxic boolean, kept boolean")
+    return rows.mapInArrow(C.leaving_nothing(run), "doc_id bigint, severity double, toxic boolean, kept boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -222,7 +224,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             severity = scorer.severity([(text or "").encode() for text in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(severity < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.leaving_nothing(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
