@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from maskwright.functions import plain
+from maskwright.functions import text as X
 from maskwright.operators import detectors, pseudonym, rewrite
 from maskwright.plans.redact import redact
 from tests import model
@@ -25,6 +27,22 @@ def test_finds_of_a_batch_equal_the_model_also_beyond_ascii():
         assert all(s["value"] == line[s["start"] : s["end"]] for s in found)
 
 
+def test_labels_teach_as_in_the_model_and_as_the_expression_says(spark):
+    docs = model.sample(random.Random(9), 80, 20) + [["FULL   name --", "Ada Byron"], ["Name", " "], ["contact no. 1 2 3", "98765 43210"], ["Contact NO.", "9876543210"], ["ÑAME", "x y"], ["", ""]]
+    pairs = [(a, b) for doc in docs for a, b in zip([None, *doc], [*doc, None])]
+    for label, text in pairs:
+        assert set(plain.taught_by_label(label, text)) == {(k, v) for k, v in model.learn([label or "", text or ""]) if plain.label_type(label or "") == k and v in (text or "")} - taught_by_finds(label, text), (label, text)
+    rows = spark.createDataFrame([(a,) for a, _ in pairs], "t string")
+    assert all(r.k == (plain.label_type(r.t) if r.t else None) for r in rows.select("t", X.label_type(F.col("t")).alias("k")).collect())
+
+
+def taught_by_finds(label, text):
+    """What the finds of a paragraph, or of its label, teach beside the label."""
+    by_label = set(plain.taught_by_label(label, text))
+    found = {(k, line[a:b].strip()) for line in (label or "", text or "") for a, b, k, _ in model.resolve(model.finds(line))}
+    return {f for f in found if f[0] in ("name", "company")} - by_label
+
+
 def test_pieces_are_walked_alike_whatever_the_order_of_places():
     draw = random.Random(3)
     for _ in range(2000):
@@ -61,11 +79,17 @@ def test_spans_meet_few_keys_as_a_map_and_many_one_by_one(spark, lines_of):
 
 
 def test_keys_of_small_documents_are_numbered_in_one_shuffle(spark):
-    rows = [(d, k, f"v{v}", v // 2 % 3, (v << 32) + v, 1) for d in (1, 2) for k in ("name", "email") for v in range(9 * d)]
-    rows += [(1, "name", "v0", 7, (9 << 40), 2), (None, "name", "x", 0, 5, 1), (3, "name", None, 0, 5, 1), (3, "name", "y", None, None, 1)]
+    rows = [(d, k, f"v{v}", 0, (v << 32) + v, 1) for d in (1, 2) for k in ("name", "email") for v in range(9 * d)]
+    rows += [(None, "name", "x", 0, 5, 1), (3, "name", None, 0, 5, 1), (3, "name", "y", None, None, 1)]
     occurring = spark.createDataFrame(rows, "doc_id bigint, pii_type string, norm_value string, chunk bigint, first bigint, n bigint")
     whole = pseudonym.lookups(occurring)
     assert plan_of(whole).split("== Physical Plan ==")[1].count("Exchange") == 1
-    assert rows_of(whole) == rows_of(pseudonym.lookups(occurring, 20)) == rows_of(pseudonym.lookups(occurring, 1))
+    everything = pseudonym.with_fakes(pseudonym.ordinals(occurring, 1)).withColumnRenamed("first", "_first")
+    by_chunks = occurring.select("doc_id", "pii_type", "norm_value", "chunk", "first").join(everything, ["doc_id", "pii_type", "norm_value"])
+    by_chunks = by_chunks.selectExpr("doc_id", "pii_type", "norm_value", "chunk", "ordinal", "fake", "first = _first AS is_first")
+    assert rows_of(whole) == rows_of(by_chunks)
+    several = occurring.unionByName(occurring.selectExpr("doc_id", "pii_type", "norm_value", "chunk + 3", "first + (1 << 50)", "n").filter("doc_id = 2").toDF(*occurring.columns))
+    assert rows_of(pseudonym.lookups(several).filter("doc_id = 2 AND chunk < 3")) == rows_of(whole.filter("doc_id = 2"))
+    assert pseudonym.lookups(several).filter("doc_id = 2 AND NOT is_first").count() == whole.filter("doc_id = 2").count()
     assert whole.filter("doc_id IS NULL OR doc_id = 3").count() == 0
     assert [r.ordinal for r in pseudonym.mapping(whole).filter("doc_id = 1 AND pii_type = 'email'").orderBy("ordinal").collect()] == list(range(1, 10))
